@@ -80,3 +80,19 @@ def keys_above(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     marks = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in heavy], "h long"))  # at most 1.2 / share rows
     counted = rows.withColumn("h", key_hash(keys)).join(marks, "h", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return counted.where(F.col("n_rows") >= share * n)
+
+
+def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", *, share: float = 0.01) -> DataFrame:
+    """Joins ``big`` with ``small`` (one row per key) where a few keys may hold most of ``big``.
+
+    The rows of ``small`` for heavy keys, at most ``1.2 / share``, are broadcast; all other keys take
+    the ordinary shuffle join. ``how`` is inner or left. Null keys match nothing; with left they are kept.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    _, heavy = heavy_hashes(big, [key], share)
+    if not heavy:
+        return big.join(small, key, how)
+    of_heavy = key_hash([key]).isin(heavy)
+    hot = big.where(of_heavy).join(F.broadcast(small.where(of_heavy)), key, how)
+    return hot.unionByName(big.where(~of_heavy).join(small.where(~of_heavy), key, how))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kithmark.llm.addresses import same_place_pairs
 from kithmark.llm.components import components, parse_links
 from kithmark.llm.forms import text_forms
 from kithmark.runtime import table
@@ -24,12 +25,18 @@ def p2_forms(spark, sf_dir):
     return _forms(spark, sf_dir)
 
 
+def p3_found(spark, sf_dir):
+    return same_place_pairs(
+        table(spark, sf_dir, S1), record="entity_id", raw="business_address", normalized="business_address_normalized", country="country"
+    )
+
+
 def p6_found(spark, sf_dir):
     links = parse_links(table(spark, sf_dir, "train_matches"), "source1_entity_id", "match_entity_ids")
     return components(links, "a", "b")
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_found": p6_found}
 ORACLE: dict[str, str] = {
     "p6_found": r"""WITH RECURSIVE
         l AS (SELECT DISTINCT trim(source1_entity_id) AS a, unnest(regexp_extract_all(coalesce(match_entity_ids, ''), 'S[0-9]+-[0-9]+')) AS b FROM train_matches),

@@ -103,8 +103,11 @@ def examine(text: str | None) -> tuple[bool, str | None]:
     seen = "".join(c for c in text if _kind(c) != "unseen") if "unseen" in kinds else text
     if kinds & {"space", "hyphen"}:
         seen = "".join(" " if (k := _kind(c)) == "space" else "-" if k == "hyphen" else c for c in seen)
-    form = unicodedata.normalize("NFKC", seen) if case else unicodedata.normalize("NFC", seen)
-    form, hit = resolve_tokens(form)
+    # look-alikes first: compatibility forms would turn some of them into other letters
+    form, hit = resolve_tokens(unicodedata.normalize("NFC", seen))
+    if case:
+        form, again = resolve_tokens(unicodedata.normalize("NFKC", form))
+        hit = hit or again
     return case or hit, form
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kithmark.llm.addresses import same_place_pairs
 from kithmark.llm.components import components, parse_links
 from kithmark.llm.forms import text_forms
+from kithmark.llm.names import same_firm_pairs
 from kithmark.runtime import table
 
 S1 = "train_source1_processed"
@@ -31,12 +32,16 @@ def p3_found(spark, sf_dir):
     )
 
 
+def p5_found(spark, sf_dir):
+    return same_firm_pairs(table(spark, sf_dir, S1), record="entity_id", raw="business_name", normalized="business_name_normalized")
+
+
 def p6_found(spark, sf_dir):
     links = parse_links(table(spark, sf_dir, "train_matches"), "source1_entity_id", "match_entity_ids")
     return components(links, "a", "b")
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 ORACLE: dict[str, str] = {
     "p6_found": r"""WITH RECURSIVE
         l AS (SELECT DISTINCT trim(source1_entity_id) AS a, unnest(regexp_extract_all(coalesce(match_entity_ids, ''), 'S[0-9]+-[0-9]+')) AS b FROM train_matches),

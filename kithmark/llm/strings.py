@@ -70,3 +70,31 @@ def within(a: str, b: str, k: int) -> bool:
             return False
         before, row = row, new
     return row[-1] <= k
+
+
+def _deletes(word: str, k: int) -> set[str]:
+    out = {word}
+    for _ in range(k):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
+class NearLookup:
+    """Words of a small vocabulary within one or two errors of a token, found by shared deletions."""
+
+    def __init__(self, words, reach):
+        self.reach, self.index = reach, {}
+        for w in words:
+            for d in _deletes(w, reach(w)):
+                self.index.setdefault(d, []).append(w)
+
+    def find(self, token: str) -> str:
+        """The nearest word, '' if none; of equally near ones the first in the alphabet."""
+        hits = set()
+        for d in _deletes(token, 2 if len(token) >= 7 else 1):
+            hits.update(self.index.get(d, ()))
+        for k in (0, 1, 2):
+            near = sorted(w for w in hits if k <= self.reach(w) and within(token, w, k))
+            if near:
+                return near[0]
+        return ""

@@ -27,7 +27,7 @@ STREET_TYPES = {
     "vihar": "vihar", "vhr": "vihar", "colony": "colony", "clny": "colony", "col": "colony", "marg": "marg", "mg": "marg",
     "drive": "drive", "dr": "drive", "court": "court", "ct": "court", "crt": "court", "boulevard": "boulevard",
     "blvd": "boulevard", "bd": "boulevard", "boul": "boulevard", "square": "square", "sq": "square", "sqr": "square",
-    "allee": "allee", "all": "allee", "rue": "rue", "r": "rue", "place": "place", "pl": "place", "chemin": "chemin",
+    "allee": "allee", "all": "allee", "rue": "rue", "r": "rue", "place": "place", "pl": "place", "plc": "place", "chemin": "chemin",
     "terrace": "terrace", "ter": "terrace", "way": "way", "parkway": "parkway", "pkwy": "parkway",
 }
 #: Types that stand before the name of the street.
@@ -43,7 +43,7 @@ _NOISE = re.compile(
     r"|\b\d+(?:st|nd|rd|th)? *(?:floor|flr|fl)\b|\b(?:ground|first|second|third|top) +(?:floor|fl)\b|\b(?:floor|fl)\b[. ]*\d+"
 )
 _NUMBER = re.compile(
-    r"(?:(?:\b(?:door|house|plot|bldg|building|kh|h)\b[. ]*)?(?:\bno\b[. ]*|\bn\s?° ?|# ?|\bnumber\b ?)?-?)(?<![\w/])(\d{1,4}(?:/\d{1,3})? ?[a-z]?)(?![\w°/])"
+    r"(?:(?:\b(?:door|house|plot|bldg|building|kh|h)\b[. ]*)?(?:\bno\b[. ]*|\bn\s?° ?|# ?|\bnumber\b ?)?-?)(?<![\w/])(\d{1,4}(?:/\d{1,3})?(?: ?[a-qs-z]|r)?)(?![\w°/])"
 )
 _PREFIX = re.compile(r"\b(?:door|house|plot|bldg|building|kh|h)\b[. ]*(?:no\b[. ]*)?-?|\bno\b[. ]*-?(?=\s*\d)|\bn\s?° ?|#")
 _POST = re.compile(r"(?<!\w)\d{5,6}(?!\w)")
@@ -101,9 +101,7 @@ def parse_address(raw: str | None, country: str | None = None) -> dict | None:
                 street, kind, at = after, k, i
                 toks[i] = toks[i + 1] = "|"
                 break
-            if before[0].isalpha() and before not in STREET_TYPES and len(w) + (i > 0 and before != "|") > 1:
-                if w in ("la", "me", "r", "all") and before in skip:
-                    continue
+            if before[0].isalpha() and before not in STREET_TYPES and w != "r":
                 street, kind, at = before, k, i - 1
                 toks[i] = toks[i - 1] = "|"
                 break
@@ -182,16 +180,18 @@ def _parse(df: DataFrame, keep: list[str], raw: str, country: str) -> DataFrame:
 
 
 def parsed_addresses(df: DataFrame, keep: list[str], raw: str, country: str) -> DataFrame:
+    """Parses and then does what ``with_corpus`` says; parsing is done once and checkpointed."""
+    return with_corpus(cut(_parse(df, keep, raw, country)), keep)
+
+
+def with_corpus(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, ``addr`` and ``keys``: parsed addresses with what the corpus tells about them, and hashes.
 
     * Words that end many addresses are regions; alone they aren't taken for a town.
     * For a missing postcode, the one is guessed where the street occurs under one postcode only.
     * ``keys`` are the hashes of (number, postcode), (number, street) and (number, town), for every
       plausible reading; empty without a house number, null without an address.
-
-    Parsing is done once and written to the shared checkpoint folder.
     """
-    parsed = cut(_parse(df, keep, raw, country))
     n = parsed.where("addr is not null").count()
     ends = parsed.where("addr.region <> ''").groupBy(F.col("addr.region").alias("w")).count()
     # at most 1 / REGION_SHARE words can pass

@@ -36,6 +36,8 @@ TRADES = {
 }
 #: Second words of two-word trades; they add nothing to the first.
 TRADE_SECOND = {"products": "prod", "center": "ctr", "systems": "sys", "works": "wks"}
+#: Words of their own that a short form would swallow.
+PLAIN_WORDS = {"auto", "care", "tea", "house", "cafe", "fuel", "stop", "point", "mobile", "agro", "depot", "pizza"}
 SHORT = {v: k for k, v in TRADES.items() if v}
 SECOND = set(TRADE_SECOND) | set(TRADE_SECOND.values())
 LEGAL = {
@@ -75,7 +77,7 @@ def trade_of(token: str) -> str:
         if near and (len(token) >= 5 or token[0] == near[0]):
             return "+" if near in TRADE_SECOND else near
         for t in TRADES:
-            if len(t) >= 5 and len(token) > len(t) + 2 and token.startswith(t):
+            if len(t) >= 5 and len(token) >= len(t) + 2 and token.startswith(t):
                 return t
     return ""
 
@@ -83,7 +85,7 @@ def trade_of(token: str) -> str:
 @lru_cache(maxsize=200_000)
 def weak_trade(token: str) -> str:
     """The trade a damaged short form means; only asked where no other word names a trade."""
-    if len(token) < 3:
+    if len(token) < 3 or token in PLAIN_WORDS:
         return ""
     near = _NEAR_SHORT.find(token)
     if near and (len(near) > 3 or token[0] == near[0]):
@@ -178,6 +180,27 @@ def form_of(raw: str | None) -> str | None:
     return None if p is None else f"{p[1]}|{p[2]}|{p[3]}"
 
 
+def _orders(tokens: str) -> list[str]:
+    """The proper name without spaces, as given and with the words turned round."""
+    w = tokens.split()
+    return ["".join(w)] if len(w) < 2 else ["".join(w), "".join(w[1:] + w[:1])] + (["".join(w[2:] + w[:2])] if len(w) == 3 else [])
+
+
+def _core_likeness(a: str, b: str) -> float:
+    """Ratio of the longest common subsequence if the spellings differ by typing errors only, else 0."""
+    if a == b:
+        return 1.0
+    x, y = sounds(a), sounds(b)
+    if x == y:
+        return 0.97
+    n = min(len(x), len(y))
+    if n < 5 or abs(len(x) - len(y)) > 2 and abs(len(a) - len(b)) > 2:
+        return 0.0
+    r = max(lcs_ratio(x, y), lcs_ratio(a, b))
+    k = 1 if n < 8 else 2
+    return r if r >= 0.8 and (within(x, y, k) or within(a, b, k)) else 0.0
+
+
 def same_firm(a: str, b: str) -> float:
     """Confidence that two forms mean the same firm; 0 if they don't."""
     (ta, ra, ga), (tb, rb, gb) = a.split("|"), b.split("|")
@@ -189,24 +212,9 @@ def same_firm(a: str, b: str) -> float:
         return 0.0
     if ga and gb and ga != gb and not (min(len(ga), len(gb)) == 1 and ga[0] == gb[0]):
         return 0.0
-    score = 1.0 if ca == cb else 0.0
+    score = max(_core_likeness(x, y) for x in _orders(ta) for y in _orders(tb))
     if not score:
-        x, y = sounds(ca), sounds(cb)
-        if x == y:
-            score = 0.97
-        else:
-            r = max(lcs_ratio(x, y), lcs_ratio(ca, cb))
-            if r < 0.8:
-                wa, wb = sorted(ta.split()), sorted(tb.split())
-                if len(wa) > 1 and wa == wb:
-                    r, score = 1.0, 0.95
-                else:
-                    return 0.0
-            if not score:
-                n = min(len(x), len(y))
-                if n < 5 or not (within(x, y, 1 if n < 8 else 2) or within(ca, cb, 1 if n < 8 else 2)):
-                    return 0.0
-                score = r
+        return 0.0
     if not (ra and rb):
         score *= 0.9
     return score

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kithmark.llm.addresses import same_place_pairs
 from kithmark.llm.components import components, parse_links
 from kithmark.llm.forms import text_forms
+from kithmark.llm.linkage import link
 from kithmark.llm.names import same_firm_pairs
 from kithmark.runtime import table
 
@@ -32,6 +33,23 @@ def p3_found(spark, sf_dir):
     )
 
 
+def _links(spark, sf_dir):
+    """Records of source 1 without a row in train_matches against sources 2 and 3."""
+    known = table(spark, sf_dir, "train_matches").select(F.trim("source1_entity_id").alias("entity_id")).distinct()
+    left = table(spark, sf_dir, S1).join(known, "entity_id", "left_anti")
+    rights = [table(spark, sf_dir, f"train_source{n}_processed") for n in (2, 3)]
+    return link(left, rights, record="entity_id", name="business_name", address="business_address", country="country")
+
+
+def p4_found(spark, sf_dir):
+    return _links(spark, sf_dir).select(F.col("left_id").alias("source1_entity_id"), F.col("right_id").alias("match_entity_id"))
+
+
+def p4_confidence(spark, sf_dir):
+    """The matches with their confidence."""
+    return _links(spark, sf_dir).select(F.col("left_id").alias("source1_entity_id"), F.col("right_id").alias("match_entity_id"), "confidence")
+
+
 def p5_found(spark, sf_dir):
     return same_firm_pairs(table(spark, sf_dir, S1), record="entity_id", raw="business_name", normalized="business_name_normalized")
 
@@ -41,7 +59,7 @@ def p6_found(spark, sf_dir):
     return components(links, "a", "b")
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found}
 ORACLE: dict[str, str] = {
     "p6_found": r"""WITH RECURSIVE
         l AS (SELECT DISTINCT trim(source1_entity_id) AS a, unnest(regexp_extract_all(coalesce(match_entity_ids, ''), 'S[0-9]+-[0-9]+')) AS b FROM train_matches),

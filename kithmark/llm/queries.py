@@ -8,6 +8,7 @@ from kithmark.llm.addresses import same_place_pairs
 from kithmark.llm.components import components, parse_links
 from kithmark.llm.forms import text_forms
 from kithmark.llm.linkage import link
+from kithmark.llm.mixture import mix
 from kithmark.llm.names import same_firm_pairs
 from kithmark.runtime import table
 
@@ -59,7 +60,31 @@ def p6_found(spark, sf_dir):
     return components(links, "a", "b")
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found}
+def _mix(spark, sf_dir, total=None):
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total_tokens=total)
+
+
+def p8_mix(spark, sf_dir):
+    """The largest mixture in which every source reaches its share."""
+    return _mix(spark, sf_dir).schedule
+
+
+def p8_shares(spark, sf_dir):
+    return _mix(spark, sf_dir).shares
+
+
+def p8_mix_corpus(spark, sf_dir):
+    """A mixture of as many tokens as the corpus has; small sources can't reach their share."""
+    return _mix(spark, sf_dir, "corpus").schedule
+
+
+def p8_shares_corpus(spark, sf_dir):
+    return _mix(spark, sf_dir, "corpus").shares
+
+
+QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_mix_corpus": p8_mix_corpus, "p8_shares_corpus": p8_shares_corpus,
+}
 ORACLE: dict[str, str] = {
     "p6_found": r"""WITH RECURSIVE
         l AS (SELECT DISTINCT trim(source1_entity_id) AS a, unnest(regexp_extract_all(coalesce(match_entity_ids, ''), 'S[0-9]+-[0-9]+')) AS b FROM train_matches),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kithmark.llm.addresses import same_place_pairs
 from kithmark.llm.components import components, parse_links
 from kithmark.llm.forms import text_forms
+from kithmark.llm.leakage import leaked_passages
 from kithmark.llm.linkage import link
 from kithmark.llm.mixture import mix
 from kithmark.llm.names import same_firm_pairs
@@ -60,6 +61,19 @@ def p6_found(spark, sf_dir):
     return components(links, "a", "b")
 
 
+def _leaks(spark, sf_dir):
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark, sf_dir):
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_item_report(spark, sf_dir):
+    """For each leaked item: pages that hold it and most words held."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_pages"), F.max("n_words").alias("most_words"))
+
+
 def _mix(spark, sf_dir, total=None):
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total_tokens=total)
 
@@ -83,6 +97,7 @@ def p8_shares_corpus(spark, sf_dir):
 
 
 QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found,
+    "p7_found": p7_found, "p7_item_report": p7_item_report,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_mix_corpus": p8_mix_corpus, "p8_shares_corpus": p8_shares_corpus,
 }
 ORACLE: dict[str, str] = {

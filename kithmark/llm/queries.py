@@ -11,6 +11,7 @@ from kithmark.llm.leakage import leaked_passages
 from kithmark.llm.linkage import link
 from kithmark.llm.mixture import mix
 from kithmark.llm.names import same_firm_pairs
+from kithmark.llm.spam import spam_pages
 from kithmark.runtime import table
 
 S1 = "train_source1_processed"
@@ -96,9 +97,19 @@ def p8_shares_corpus(spark, sf_dir):
     return _mix(spark, sf_dir, "corpus").shares
 
 
+def p9_found(spark, sf_dir):
+    return spam_pages(table(spark, sf_dir, "documents")).where("spam").select("doc_id")
+
+
+def p9_line_report(spark, sf_dir):
+    """Spam lines of every page."""
+    return spam_pages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found,
     "p7_found": p7_found, "p7_item_report": p7_item_report,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_mix_corpus": p8_mix_corpus, "p8_shares_corpus": p8_shares_corpus,
+    "p9_found": p9_found, "p9_line_report": p9_line_report,
 }
 ORACLE: dict[str, str] = {
     "p6_found": r"""WITH RECURSIVE

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithmark.plans import skew
+from kithmark.plans import linkage_catalogue, skew
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "candidate_lists"
 
-for _part in (skew,):
+for _part in (skew, linkage_catalogue):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

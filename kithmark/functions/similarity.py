@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -69,14 +69,17 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + 0.1 * same * (1 - jaro)
 
 
-@F.pandas_udf("struct<name: double, name_raw: double, addr: double, addr_raw: double>")
+_FOUR = T.StructType([T.StructField(n, T.DoubleType()) for n in ("name", "name_raw", "addr", "addr_raw")])
+
+
+@F.pandas_udf(_FOUR)
 def jaro_winkler_four(n1: pd.Series, n2: pd.Series, r1: pd.Series, r2: pd.Series, a1: pd.Series, a2: pd.Series, w1: pd.Series, w2: pd.Series) -> pd.DataFrame:
     """The four comparisons of a pair in one crossing to Python; strings are cut to 128 characters by the caller."""
     each = lambda x, y: [jaro_winkler_of(u or "", v or "") for u, v in zip(x, y)]
     return pd.DataFrame({"name": each(n1, n2), "name_raw": each(r1, r2), "addr": each(a1, a2), "addr_raw": each(w1, w2)})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_of(u or "", v or "") for u, v in zip(a, b)])
 

@@ -10,6 +10,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)[\s\x1C-\x1F]+"
 NOT_SPACE = r"(?U)[^\s\x1C-\x1F]+"
@@ -18,7 +19,7 @@ _E = r"(?![\p{L}\p{N}_])"
 
 # Rewriting rules in their order (pattern, replacement).
 NAME_PUNCTUATION = [
-    (r"^[-<>=*#!@~`|]+" + SPACE[4:-1] + "*", ""),
+    (r"(?U)^[-<>=*#!@~`|]+[\s\x1C-\x1F]*", ""),
     (r"(?U)[\s\x1C-\x1F]*&[\s\x1C-\x1F]*", " and "),
     (r"([a-z])\.(?=[a-z])", "$1"),
     (r"([a-z])\.$", "$1"),
@@ -48,10 +49,9 @@ ADDRESS_RULES = [
 ]
 NAME_LEADERS = r"^(the|a|an|hotel|shree|sri|shri|dr|m/s|ms|pvt|private|ltd|limited|llc|inc|corp|co)\s+"
 ADDRESS_LEADERS = r"^(h\.?number|flat number|door number|door no|plot no|flat no|house no|old number|new number|number|no\.?)\s*"
-NAME_PUNCTUATION[0] = (r"(?U)^[-<>=*#!@~`|]+[\s\x1C-\x1F]*", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 

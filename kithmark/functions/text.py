@@ -150,7 +150,7 @@ def without_legal_forms(raw: Column) -> Column:
 def parse_match_ids(c: Column) -> Column:
     """An untidy id list as an array: brackets, quotes and blanks go; nan, none and null mean nothing."""
     bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\[\]'\"]", "")
-    parts = F.transform(F.split(bare, ","), F.trim)
+    parts = F.transform(F.split(bare, ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: (x != "") & ~F.lower(x).isin("nan", "none", "null"))
 
 

@@ -216,8 +216,8 @@ def blocking_recall_capped(spark, d):
 
 # ---- ground truth ----------------------------------------------------------------------------------------
 
-_LISTS = r"""lists AS (SELECT source1_entity_id AS s1_id, list_filter(list_transform(string_split(regexp_replace(coalesce(match_entity_ids, ''), '[\[\]''"]', '', 'g'), ','), x -> trim(x)),
-    x -> x <> '' AND lower(x) NOT IN ('nan', 'none', 'null')) AS ids FROM train_matches)"""
+_LISTS = r"""lists AS (SELECT source1_entity_id AS s1_id, list_filter(list_transform(string_split(regexp_replace(coalesce(match_entity_ids, ''), '[\[\]''"]', '', 'g'), ','), lambda x: trim(x)),
+    lambda x: x <> '' AND lower(x) NOT IN ('nan', 'none', 'null')) AS ids FROM train_matches)"""
 
 
 def _lists(spark, d):
@@ -385,7 +385,7 @@ def addr_components(spark, d):
     return P.flag_counts(_t(spark, d, 1), "business_address", P.COMPONENTS)
 
 
-@query(rf"""WITH w AS (SELECT list_filter(string_split_regex(coalesce(business_address, ''), '\s+'), x -> length(x) >= 2 AND regexp_matches(x, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]') AND upper(x) = x AND NOT regexp_matches(x, '[\p{{Ll}}\p{{Lt}}]')) AS caps FROM {T1})
+@query(rf"""WITH w AS (SELECT list_filter(string_split_regex(coalesce(business_address, ''), '\s+'), lambda x: length(x) >= 2 AND regexp_matches(x, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]') AND upper(x) = x AND NOT regexp_matches(x, '[\p{{Ll}}\p{{Lt}}]')) AS caps FROM {T1})
     SELECT count(*) FILTER (len(caps) > 0) AS n_rows FROM w""")
 def caps_tokens(spark, d):
     return _t(spark, d, 1).agg(F.sum(P.rows_with_capital_word(None, "business_address").cast("long")).alias("n_rows"))
@@ -428,13 +428,13 @@ _ENT = f"""ent AS (SELECT entity_id AS id, max(coalesce(business_name_normalized
     FROM (SELECT * FROM {T1} UNION ALL SELECT * FROM {T2} UNION ALL SELECT * FROM {T3}) GROUP BY 1)"""
 _PAIR = f"""{_lists_sql(CAPS)}, {_ENT}, cand AS (SELECT id AS s1_id, unnest(acc) AS cand_id FROM f8),
     p AS (SELECT s1_id, cand_id, x.n AS n1, y.n AS n2, x.a AS a1, y.a AS a2, x.c AS c1, y.c AS c2 FROM cand JOIN ent x ON x.id = s1_id JOIN ent y ON y.id = cand_id)"""
-_toks = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), w -> w <> ''))"
-_grams = lambda c, n: f"list_distinct(list_transform(range(1, greatest(length({c}) - {n} + 1, 1) + 1), i -> substring({c}, i, {n})))"
+_toks = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), lambda w: w <> ''))"
+_grams = lambda c, n: f"list_distinct(list_transform(range(1, greatest(length({c}) - {n} + 1, 1) + 1), lambda i: substring({c}, i, {n})))"
 _jac = lambda x, y: f"CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 1.0 WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 ELSE len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct(list_concat({x}, {y}))) END"
 _ovl = lambda x, y: f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 ELSE len(list_intersect({x}, {y}))::DOUBLE / least(len({x}), len({y})) END"
 _rat = lambda x, y: f"CASE WHEN {x} = 0 AND {y} = 0 THEN 1.0 WHEN {x} = 0 OR {y} = 0 THEN 0.0 ELSE least({x}, {y})::DOUBLE / greatest({x}, {y}) END"
 _gj = lambda a, b, n: f"CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE {_jac(_grams(a, n), _grams(b, n))} END"
-_wc = lambda c: f"len(list_filter(string_split({c}, ' '), w -> w <> ''))"
+_wc = lambda c: f"len(list_filter(string_split({c}, ' '), lambda w: w <> ''))"
 _SET = {
     "f_name_jaccard": _jac("tn1", "tn2"), "f_name_overlap": _ovl("tn1", "tn2"), "f_addr_jaccard": _jac("ta1", "ta2"), "f_addr_overlap": _ovl("ta1", "ta2"),
     "f_name_in_addr_overlap": _ovl("tn1", "ta2"), "f_name_char3gram": _gj("n1", "n2", 3), "f_name_char4gram": _gj("n1", "n2", 4), "f_addr_char3gram": _gj("a1", "a2", 3),
@@ -465,7 +465,7 @@ def entity_lookup_join(spark, d):
 def _tfidf_sql(a: str, b: str, out: str) -> str:
     return rf"""{_PAIR}, texts AS (SELECT text, count(*) AS times FROM (SELECT {a} AS text FROM p UNION ALL SELECT {b} FROM p) GROUP BY 1),
         words AS (SELECT text, times, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM texts),
-        each AS (SELECT text, times, term, count(*) AS tf FROM (SELECT text, times, unnest(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))) AS term FROM words) GROUP BY ALL),
+        each AS (SELECT text, times, term, count(*) AS tf FROM (SELECT text, times, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words) GROUP BY ALL),
         known AS (SELECT term, sum(times) AS df, sum(tf * times) AS total FROM each GROUP BY 1 HAVING sum(times) >= 2 ORDER BY total DESC, term LIMIT 50000),
         w AS (SELECT text, term, (1 + ln(tf)) * (ln((1.0 + (SELECT sum(times) FROM texts)) / (1.0 + df)) + 1) AS w FROM each JOIN known USING (term)),
         norm AS (SELECT text, sqrt(sum(w * w)) AS len FROM w GROUP BY 1),
@@ -585,7 +585,7 @@ def submission_summary(spark, d):
     return M.submission_summary(submission(spark, d))
 
 
-@query(f"{_SUB} SELECT true AS columns_right, count(*) AS n_rows, count(*) FILTER (NOT starts_with(source1_entity_id, 'S1-')) AS n_bad_ids, count(*) FILTER (len(list_filter(string_split(match_entity_ids, ','), x -> x <> '' AND NOT regexp_matches(x, '^S[23]-'))) > 0) AS n_bad_targets FROM sub")
+@query(f"{_SUB} SELECT true AS columns_right, count(*) AS n_rows, count(*) FILTER (NOT starts_with(source1_entity_id, 'S1-')) AS n_bad_ids, count(*) FILTER (len(list_filter(string_split(match_entity_ids, ','), lambda x: x <> '' AND NOT regexp_matches(x, '^S[23]-'))) > 0) AS n_bad_targets FROM sub")
 def submission_checks(spark, d):
     return I.submission_check(submission(spark, d))
 

@@ -35,19 +35,19 @@ LEADING = {"allee", "rue", "place", "boulevard", "avenue", "chemin"}
 COUNTRY_WORDS = {"india", "us", "usa", "france", "germany", "brazil", "kenya", "portugal", "bharat", "deutschland"}
 MISSING = {"", "null", "none", "nan", "n/a", "na", "-"}
 
-_NOISE = re.compile(
-    r"\b(?:near|nr|behind|opposite|opp|next to|beside|adjacent to)\b[. ]+[a-z]+ [a-z]+"
-    r"|\b(?:main bazar|old town|rear entrance|null)\b"
-    r"|\b(?:unit|flat|suite|apartment|apt|shop|room)\b[. #]*(?:no\b[. ]*)?(?:\d+[a-z]?\b|[a-z]\b)"
-    r"|\b(?:phase|sector|block|ward)\b[. -]*(?:no\b[. ]*)?(?:\d+[a-z]?\b|[a-z]\b)"
-    r"|\b\d+(?:st|nd|rd|th)? *(?:floor|flr|fl)\b|\b(?:ground|first|second|third|top) +(?:floor|fl)\b|\b(?:floor|fl)\b[. ]*\d+"
+_TOKEN = re.compile(r" - |\d+(?:/\d+)?[a-z]*|[a-z]+(?:-[a-z]+)*|[,;|#]")
+_HOUSE = re.compile(r"\d{1,4}(?:/\d{1,3})?[a-z]?")
+# Words that begin something other than street, town or number, and what they begin.
+_BEGINS = (
+    dict.fromkeys(("near", "nr", "behind", "opposite", "opp", "beside", "next", "adjacent"), "landmark")
+    | dict.fromkeys(("unit", "flat", "suite", "apartment", "apt", "shop", "room", "phase", "sector", "block", "ward"), "unit")
+    | dict.fromkeys(("door", "house", "plot", "bldg", "building", "kh", "h", "no", "number", "n"), "prefix")
+    | dict.fromkeys(("ground", "first", "second", "third", "top"), "level")
+    | {"floor": "floor", "fl": "floor", "flr": "floor", "null": "nothing", "main": "bazar", "old": "town", "rear": "entrance"}
 )
-_NUMBER = re.compile(
-    r"(?:(?:\b(?:door|house|plot|bldg|building|kh|h)\b[. ]*)?(?:\bno\b[. ]*|\bn\s?° ?|# ?|\bnumber\b ?)?-?)(?<![\w/])(\d{1,4}(?:/\d{1,3})?(?: ?[a-qs-z]|r)?)(?![\w°/])"
-)
-_PREFIX = re.compile(r"\b(?:door|house|plot|bldg|building|kh|h)\b[. ]*(?:no\b[. ]*)?-?|\bno\b[. ]*-?(?=\s*\d)|\bn\s?° ?|#")
-_POST = re.compile(r"(?<!\w)\d{5,6}(?!\w)")
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
+_FLOOR = {"floor", "fl", "flr"}
+_ORDINAL = re.compile(r"\d+(?:st|nd|rd|th)")
 
 
 def plain(text: str | None) -> str:
@@ -57,7 +57,7 @@ def plain(text: str | None) -> str:
     t = consistent_form(text).lower()
     if not t.isascii():
         t = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F))
-    t = re.sub(r"\s+", " ", t).strip()
+    t = " ".join(t.split())
     return "" if t in MISSING else t
 
 
@@ -66,6 +66,11 @@ def _sound(word: str) -> str:
     return sounds(word)
 
 
+@lru_cache(maxsize=10_000)
+def _country_words(country: str | None) -> frozenset[str]:
+    return frozenset(_WORD.findall(plain(country))) | COUNTRY_WORDS
+
+
 def parse_address(raw: str | None, country: str | None = None) -> dict | None:
     """Components of an address: number, street, kind, post, town, region; None if it is missing.
 
@@ -75,21 +80,74 @@ def parse_address(raw: str | None, country: str | None = None) -> dict | None:
     t = plain(raw)
     if not t:
         return None
-    t = _NOISE.sub(" | ", t)
-    post = ""
-    for m in _POST.finditer(t):
-        post = m.group()
-    t = _POST.sub(" | ", t)
-    t = re.sub(r"\.(?=\s|$|[,;|])", " ", t)
-    t = re.sub(r"[,;]| - ", " | ", t)
-    number = ""
-    m = _NUMBER.search(t)
-    if m:
-        number = m.group(1).replace(" ", "")
-        t = t[: m.start()] + " # " + t[m.end() :]
-    t = _PREFIX.sub(lambda k: " # " if k.group() == "#" else " ", t)
-    skip = {w for w in _WORD.findall(plain(country))} | COUNTRY_WORDS
-    toks = re.findall(r"[a-z]+(?:-[a-z]+)*|[#|]|\d+", t)
+    raw_toks = _TOKEN.findall(t)
+    toks: list[str] = []
+    post = number = ""
+    i, n = 0, len(raw_toks)
+    while i < n:
+        w = raw_toks[i]
+        c = w[0]
+        nxt = raw_toks[i + 1] if i + 1 < n else "|"
+        i += 1
+        if c.isdigit():
+            if nxt in _FLOOR and (w.isdigit() or _ORDINAL.fullmatch(w)):
+                i += 1
+                toks.append("|")
+            elif len(w) in (5, 6) and w.isdigit():
+                post = w
+                toks.append("|")
+            elif not number and _HOUSE.fullmatch(w):
+                number = w
+                if len(nxt) == 1 and nxt.isalpha() and nxt != "r" and w[-1].isdigit():
+                    number += nxt
+                    i += 1
+                toks.append("#")
+            else:
+                toks.append("|")
+        elif c == "#":
+            toks.append("#")
+        elif not c.isalpha():
+            toks.append("|")
+        else:
+            begins = _BEGINS.get(w)
+            if begins is None:
+                toks.append(w)
+            elif begins == "prefix":
+                continue
+            elif begins == "landmark":
+                if nxt == "to" and w in ("next", "adjacent"):
+                    i += 1
+                for _ in range(2):
+                    if i < n and raw_toks[i][0].isalpha():
+                        i += 1
+                toks.append("|")
+            elif begins == "unit":
+                j = i
+                while j < n and raw_toks[j] in ("#", "no"):
+                    j += 1
+                if j < n and (raw_toks[j][0].isdigit() or len(raw_toks[j]) == 1 and raw_toks[j].isalpha()):
+                    i = j + 1
+                    toks.append("|")
+                else:
+                    toks.append(w)
+            elif begins == "level":
+                if nxt in _FLOOR:
+                    i += 1
+                    toks.append("|")
+                else:
+                    toks.append(w)
+            elif begins == "floor":
+                if nxt.isdigit() and number:
+                    i += 1
+                toks.append("|")
+            elif begins == "nothing":
+                toks.append("|")
+            elif nxt == begins:
+                i += 1
+                toks.append("|")
+            else:
+                toks.append(w)
+    skip = _country_words(country)
     street = kind = ""
     at = -1
     for i, w in enumerate(toks):
@@ -162,85 +220,99 @@ def same_place(a: dict, b: dict) -> bool:
     return both_posts
 
 
-PARSED = (
-    "number:string, street:string, kind:string, post:string, town:string, region:string, only:boolean, street_sound:string, town_sound:string"
-)
+#: Fields of a parsed address and of an address that the corpus has been asked about, in their packed order.
+PARSED = ("number", "street", "kind", "post", "town", "region", "only", "street_sound", "town_sound")
+PLACE = ("number", "street", "kind", "post", "guess", "town", "region")
+SEPARATOR = "\x1f"
 #: A place word is taken for a region if at least this share of the addresses end in it; at most 2000 can.
 REGION_SHARE = 0.0005
 
 
-def _parse(df: DataFrame, keep: list[str], raw: str, country: str) -> DataFrame:
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + f", addr struct<{PARSED}>"
+def pack(address: dict | None) -> str | None:
+    """A parsed address as one text; columns of texts cross to Python and back far quicker than structs."""
+    return None if address is None else SEPARATOR.join("1" if v is True else "" if v is False else v for v in map(address.get, PARSED))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[keep].assign(addr=[parse_address(r, c) for r, c in zip(b[raw], b[country])])
 
-    return df.select(*keep, *[c for c in (raw, country) if c not in keep]).mapInPandas(run, schema)
+@lru_cache(maxsize=100_000)
+def unpack_place(text: str) -> dict:
+    return dict(zip(PLACE, text.split(SEPARATOR)))
 
 
-def parsed_addresses(df: DataFrame, keep: list[str], raw: str, country: str) -> DataFrame:
-    """Parses and then does what ``with_corpus`` says; parsing is done once and checkpointed."""
-    return with_corpus(cut(_parse(df, keep, raw, country)), keep)
+def field(packed: str, name: str) -> Column:
+    """A field of a packed parsed address."""
+    return F.split_part(F.col(packed), F.lit(SEPARATOR), F.lit(PARSED.index(name) + 1))
 
 
 def with_corpus(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, ``addr`` and ``keys``: parsed addresses with what the corpus tells about them, and hashes.
+    """``keep, addr, strong, weak, open``: packed places with what the corpus tells about them, and hashes.
+
+    ``parsed`` has ``keep`` and the packed parsed address ``addr`` and is materialised.
 
     * Words that end many addresses are regions; alone they aren't taken for a town.
     * For a missing postcode, the one is guessed where the street occurs under one postcode only.
-    * ``keys`` are the hashes of (number, postcode), (number, street) and (number, town), for every
-      plausible reading; empty without a house number, null without an address.
+    * ``strong`` is the hash of (number, postcode given or guessed), ``weak`` are those of (number, street) and
+      (number, town, start or end of the street) for every plausible reading; none without a house number.
+    * ``open``: an address without a postcode of its own.
     """
-    n = parsed.where("addr is not null").count()
-    ends = parsed.where("addr.region <> ''").groupBy(F.col("addr.region").alias("w")).count()
+    known = parsed.where("addr is not null")
+    ends = known.groupBy(field("addr", "region").alias("w")).count()
+    n = known.count()
     # at most 1 / REGION_SHARE words can pass
-    regions = {sounds(r["w"]) for r in ends.where(F.col("count") >= max(3, REGION_SHARE * n)).collect()}
-    is_region = F.col("addr.town_sound").isin(list(regions)) if regions else F.lit(False)
-    alone = F.col("addr.only") & is_region
-    for f, value in (("region", F.when(alone, F.col("addr.town")).otherwise(F.col("addr.region"))), ("town", F.when(alone, F.lit("")).otherwise(F.col("addr.town")))):
-        parsed = parsed.withColumn("addr_" + f, value)
-    parsed = parsed.withColumn("town_sound", F.when(alone, F.lit("")).otherwise(F.col("addr.town_sound")))
+    regions = {sounds(r["w"]) for r in ends.where((F.col("w") != "") & (F.col("count") >= max(3, REGION_SHARE * n))).collect()}
+    parts = parsed.withColumns({f"_{f}": field("addr", f) for f in PARSED})
+    alone = (F.col("_only") == "1") & (F.col("_town_sound").isin(list(regions)) if regions else F.lit(False))
+    parts = parts.withColumns({
+        "_region": F.when(alone, F.col("_town")).otherwise(F.col("_region")), "_town": F.when(alone, F.lit("")).otherwise(F.col("_town")),
+        "_town_sound": F.when(alone, F.lit("")).otherwise(F.col("_town_sound")),
+    })
     posts = (
-        parsed.where("addr.post <> '' and addr.street_sound <> ''")
-        .groupBy(F.col("addr.street_sound").alias("_s"), F.col("addr.kind").alias("_k"))
-        .agg(F.min("addr.post").alias("lo"), F.max("addr.post").alias("hi"))
-        .where("lo = hi")
-        .select("_s", "_k", F.col("lo").alias("_fill"))
-    )
-    lacking = parsed.where("addr.post = '' and addr.street_sound <> ''").withColumns({"_s": F.col("addr.street_sound"), "_k": F.col("addr.kind")})
-    filled = lacking.join(posts, ["_s", "_k"], "left").drop("_s", "_k")
-    rest = parsed.where("addr is null or not (addr.post = '' and addr.street_sound <> '')").withColumn("_fill", F.lit(None).cast("string"))
-    both = filled.unionByName(rest)
-    post, guess = F.col("addr.post"), F.coalesce("_fill", F.lit(""))
-    number = F.col("addr.number")
-    key = lambda kind, value: F.when(value != "", F.concat_ws("|", F.lit(kind), number, value))
-    keys = F.array_compact(F.array(key("p", F.when(post != "", post).otherwise(guess)), key("s", F.col("addr.street_sound")), key("t", F.col("town_sound"))))
+        known.select(field("addr", "street_sound").alias("_street_sound"), field("addr", "kind").alias("_kind"), field("addr", "post").alias("_p"))
+        .where("_p <> '' and _street_sound <> ''").groupBy("_street_sound", "_kind").agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"))
+        .where("lo = hi").select("_street_sound", "_kind", F.col("lo").alias("_guess"))
+    )
+    lacking = F.col("addr").isNotNull() & (F.col("_post") == "") & (F.col("_street_sound") != "")
+    both = parts.where(lacking).join(posts, ["_street_sound", "_kind"], "left").unionByName(parts.where(~lacking | lacking.isNull()).withColumn("_guess", F.lit("")))
+    both = both.withColumn("_guess", F.coalesce("_guess", F.lit("")))
+    likely = F.when(F.col("_post") != "", F.col("_post")).otherwise(F.col("_guess"))
+    key = lambda kind, *values: F.when((F.col("_number") != "") & (values[0] != ""), F.xxhash64(F.lit(kind), F.col("_number"), *values))
+    street, town = F.col("_street_sound"), F.col("_town_sound")
+    weak = [key("s", street), key("t", town, F.substring(street, 1, 1)), key("u", town, F.substring(street, -2, 2))]
+    there = F.col("addr").isNotNull()
+    place = F.concat_ws(SEPARATOR, *[F.col(f"_{f}") for f in PLACE])
     return both.select(
-        *keep,
-        F.when(F.col("addr").isNotNull(), F.struct(number.alias("number"), F.col("addr.street").alias("street"), F.col("addr.kind").alias("kind"), post.alias("post"), guess.alias("guess"), F.col("addr_town").alias("town"), F.col("addr_region").alias("region"))).alias("addr"),
-        F.when(F.col("addr").isNotNull(), F.when(number != "", keys).otherwise(F.array().cast("array<string>"))).alias("keys"),
-    )
+        *keep, F.when(there, place).alias("addr"), key("p", likely).alias("strong"), F.when(there, F.array_compact(F.array(*weak))).alias("weak"),
+        (there & (F.col("_post") == "")).alias("open"),
+    )
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ok = [same_place(x, y) for x, y in zip(b["aa"], b["ab"])]
-        yield b.loc[ok, ["a", "b"]]
+def met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``a, b, k``: ids that share a key, once for each key; both sides have ``id, strong, weak, open``.
+
+    Two addresses with postcodes can only be the same place if number and postcode agree. The weaker keys are
+    asked only where one of the two has no postcode, so their number stays in proportion to the records.
+    """
+    ids = lambda d, x, k: d.select(k.alias("k"), F.col("id").alias(x))
+    strong = lambda d, x: ids(d, x, F.col("strong")).where("k is not null")
+    weak = lambda d, x: ids(d, x, F.explode("weak"))
+    some = strong(left, "a").join(strong(right, "b"), "k")
+    some = some.unionByName(weak(left.where("open"), "a").join(weak(right, "b"), "k"))
+    return some.unionByName(weak(left.where("not open"), "a").join(weak(right.where("open"), "b"), "k"))
+
+
+def _parse(df: DataFrame, keep: list[str], raw: str, country: str) -> DataFrame:
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", addr string"
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[keep].assign(addr=[pack(parse_address(r, c)) for r, c in zip(b[raw], b[country])])
 
-def first_shared(keys_a: Column, keys_b: Column, key: Column) -> Column:
-    """True at the smallest key two rows share, so that a pair met by several keys is compared once."""
-    return F.array_min(F.array_intersect(keys_a, keys_b)) == key
+    return df.select(*keep, *[c for c in (raw, country) if c not in keep]).mapInPandas(run, schema)
 
 
-def no_conflict(a: str, b: str) -> Column:
-    """House numbers agree, and postcodes and street types as far as both are given."""
-    ok = F.col(f"{a}.number") == F.col(f"{b}.number")
-    for f in ("post", "kind"):
-        x, y = F.col(f"{a}.{f}"), F.col(f"{b}.{f}")
-        ok = ok & ((x == y) | (x == "") | (y == ""))
-    return ok
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        ok = [same_place(unpack_place(x), unpack_place(y)) for x, y in zip(b["aa"], b["ab"])]
+        yield b.loc[ok, ["a", "b"]]
 
 
 def same_place_pairs(df: DataFrame, *, record: str, raw: str, normalized: str, country: str) -> DataFrame:
@@ -254,11 +326,10 @@ def same_place_pairs(df: DataFrame, *, record: str, raw: str, normalized: str, c
     rows = df.select(F.col(record).alias("id"), F.col(raw).alias("raw"), F.coalesce(F.col(normalized), F.lit("")).alias("norm"), F.col(country).alias("country"))
     rows = rows.where("norm <> '' and id is not null").dropDuplicates(["id", "norm"])
     texts = rows.groupBy("norm").agg(F.min("raw").alias("raw"), F.min("country").alias("country"))
-    keyed = cut(parsed_addresses(texts, ["norm"], "raw", "country").where(F.size("keys") > 0))
-    keyed = keyed.select("norm", "addr", "keys", F.explode("keys").alias("k"))
-    left = keyed.select("k", F.col("norm").alias("a"), F.col("addr").alias("aa"), F.col("keys").alias("ka"))
-    right = keyed.select("k", F.col("norm").alias("b"), F.col("addr").alias("ab"), F.col("keys").alias("kb"))
-    cand = left.join(right, "k").where("a < b").where(first_shared(F.col("ka"), F.col("kb"), F.col("k"))).where(no_conflict("aa", "ab"))
+    placed = cut(with_corpus(cut(_parse(texts, ["norm"], "raw", "country")), ["norm"]).where("strong is not null or size(weak) > 0").withColumnRenamed("norm", "id"))
+    cand = met(placed, placed).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda x: placed.select(F.col("id").alias(x), F.col("addr").alias("a" + x))
+    cand = cand.join(of("a"), "a").join(of("b"), "b")
     links = cand.select("a", "b", "aa", "ab").mapInPandas(_compare, "a string, b string")
     ids = rows.select("id", "norm")
     pairs = (

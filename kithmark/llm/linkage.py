@@ -17,7 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kithmark.llm.addresses import PARSED, parse_address, same_place, with_corpus
+from kithmark.llm.addresses import SEPARATOR, met, pack, parse_address, same_place, unpack_place, with_corpus
 from kithmark.llm.names import form_of, same_firm
 from kithmark.llm.strings import lcs_ratio, sounds
 from kithmark.runtime import cut
@@ -48,64 +48,54 @@ def name_similarity(a: str, b: str) -> float:
     return (0.7 if not conflict else 0.5) * r
 
 
-def name_attributes(form: str | None) -> list[str]:
-    """Name words as attributes; the whole proper name with its trade first."""
-    if form is None:
-        return []
+def name_keys(form: str) -> str:
+    """Proper name as it sounds, its start and its end, each with the trade, as one text."""
     tokens, trade, _ = form.split("|")
-    words = [sounds(w) for w in tokens.split()]
-    core, trade = "".join(words), "" if trade == "?" else trade
-    return [f"f|{core}|{trade}", f"h|{core[:5]}|{trade}", f"t|{core[-5:]}|{trade}", *(f"n|{w}" for w in words)]
+    core, trade = sounds(tokens.replace(" ", "")), "" if trade == "?" else trade
+    return f"f{core}|{trade} h{core[:5]}|{trade} t{core[-5:]}|{trade}"
 
 
 def _records(sources: list[tuple[str, DataFrame]], record: str, name: str, address: str, country: str) -> DataFrame:
-    """One row per record: ``id, side, form, names, addr, keys``. Of rows delivered twice one is taken."""
+    """One row per record with a name: ``side, id, form, names, addr, strong, weak, open``."""
     rows = None
     for side, df in sources:
         part = df.where(F.col(record).isNotNull()).select(F.col(record).alias("id"), F.lit(side).alias("side"), F.col(name).alias("n"), F.col(address).alias("a"), F.col(country).alias("c"))
         rows = part if rows is None else rows.unionByName(part)
-    rows = rows.groupBy("side", "id").agg(F.min(F.struct("n", "a", "c")).alias("r")).select("side", "id", "r.*")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             forms = [form_of(v) for v in b["n"]]
             yield pd.DataFrame({
-                "side": b["side"], "id": b["id"], "form": forms, "names": [name_attributes(f) for f in forms],
-                "addr": [parse_address(r, c) if f else None for r, c, f in zip(b["a"], b["c"], forms)],
+                "side": b["side"], "id": b["id"], "form": forms, "names": [f and name_keys(f) for f in forms],
+                "addr": [pack(parse_address(r, c)) if f else None for r, c, f in zip(b["a"], b["c"], forms)],
             })
 
-    parsed = cut(rows.mapInPandas(parse, f"side string, id string, form string, names array<string>, addr struct<{PARSED}>").where("form is not null"))
-    return cut(with_corpus(parsed, ["side", "id", "form", "names"]))
+    parsed = rows.mapInPandas(parse, "side string, id string, form string, names string, addr string").where("form is not null")
+    return cut(with_corpus(cut(parsed), ["side", "id", "form", "names"]))
 
 
-def _with_weights(records: DataFrame) -> DataFrame:
-    """Adds ``attrs``: the attributes of a record with the logarithm of their rarity."""
-    n = records.count()
-    attrs = F.concat(F.coalesce("keys", F.array().cast("array<string>")), "names")
-    each = records.select("side", "id", F.explode(F.array_distinct(attrs)).alias("k"))
-    weight = each.groupBy("k").count().select("k", F.round(F.log((F.lit(n) + 1.0) / F.col("count")), 3).alias("w"))
-    weighted = each.join(weight, "k").groupBy("side", "id").agg(F.collect_list(F.struct("k", "w")).alias("attrs"))
-    return records.join(weighted, ["side", "id"])
+def _edges(records: DataFrame) -> DataFrame:
+    """Candidate edges ``a, b, weight``, each once: only keys and ids are moved.
 
+    A record delivered twice has its keys twice; the pairs are made distinct per key before they are weighed.
+    """
+    # a name at a house number is an attribute of its own: rare, and left when the street is damaged
+    at_number = F.xxhash64(F.lit("x"), F.split_part("addr", F.lit(SEPARATOR), F.lit(1)), F.split_part("names", F.lit(" "), F.lit(1)))
+    placed = records.where("strong is not null or size(weak) > 0").select("side", "id", "strong", F.array_append("weak", at_number).alias("weak"), "open")
+    n = records.count()
+    all_keys = placed.select(F.explode(F.concat("weak", F.array("strong"))).alias("k"))
+    weight = all_keys.groupBy("k").count().select("k", F.log((F.lit(n) + 1.0) / F.col("count")).cast("float").alias("w")).where("w > 0")
+    met_at = met(placed.where("side = 'l'"), placed.where("side = 'r'")).join(weight, "k").select("a", "b", "k", "w")
 
-def _edges(records: DataFrame) -> DataFrame:
-    """Candidate edges ``a, b, fa, fb, aa, ab, weight``, each once."""
-    # the weights of attributes enter by key, so that records carry only their own short lists
-    side = lambda s, x: records.where(F.col("side") == s).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").alias("a" + x), F.col("keys").alias("k" + x), F.col("names").alias("n" + x), F.col("attrs").alias("t" + x))
-    left, right = side("l", "a"), side("r", "b")
-    common = F.array_intersect("ta", "tb")
-    total = F.aggregate(common, F.lit(0.0), lambda acc, x: acc + x["w"])
-    cols = ["a", "b", "fa", "fb", "aa", "ab", total.alias("weight")]
-
-    conflict = lambda f: (F.col(f"aa.{f}") != F.col(f"ab.{f}")) & (F.col(f"aa.{f}") != "") & (F.col(f"ab.{f}") != "")
-    x, y = left.withColumn("k", F.explode("ka")), right.withColumn("k", F.explode("kb"))
-    placed = x.join(y, "k").where(F.array_min(F.array_intersect("ka", "kb")) == F.col("k")).where(~conflict("post") & ~conflict("kind"))
-    # without an address: the proper name or its start or end, with the trade
-    names = lambda d, x: d.withColumn("k", F.explode(F.slice("n" + x, 1, 3)))
-    first = F.array_min(F.array_intersect(F.slice("na", 1, 3), F.slice("nb", 1, 3))) == F.col("k")
-    no_left = names(left.where("aa is null"), "a").join(names(right, "b"), "k").where(first)
-    no_right = names(left.where("aa is not null"), "a").join(names(right.where("ab is null"), "b"), "k").where(first)
-    return placed.select(*cols).unionByName(no_left.select(*cols)).unionByName(no_right.select(*cols))
+    bare = F.col("addr").isNull()
+    names = records.select("side", "id", bare.alias("bare"), F.explode(F.split("names", " ")).alias("t")).select("side", "id", "bare", F.xxhash64("t").alias("k"))
+    x = names.where("side = 'l'").select("k", F.col("id").alias("a"), F.col("bare").alias("na"))
+    y = names.where("side = 'r'").select("k", F.col("id").alias("b"), F.col("bare").alias("nb"))
+    no_left = x.where("na").select("k", "a").join(y.select("k", "b"), "k")
+    no_right = x.where("not na").select("k", "a").join(y.where("nb").select("k", "b"), "k")
+    named = no_left.unionByName(no_right).select("a", "b", "k", F.lit(1.0).cast("float").alias("w"))
+    each = met_at.unionByName(named).groupBy("a", "b", "k").agg(F.max("w").alias("w"))
+    return each.groupBy("a", "b").agg(F.sum("w").alias("weight"))
 
 
 def _prune(edges: DataFrame, keep_ratio: float) -> DataFrame:
@@ -125,7 +115,7 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif aa is None or ab is None:
                 out.append(s if s >= NAME_ALONE else 0.0)
             else:
-                out.append(s if same_place(aa, ab) else 0.0)
+                out.append(s if aa == ab or same_place(unpack_place(aa), unpack_place(ab)) else 0.0)
         b = b[["a", "b", "fa", "fb"]].assign(s=out)
         yield b[b["s"] > 0]
 
@@ -162,7 +152,9 @@ def link(
     an empty side gives no matches, further columns are ignored, long texts are read whole.
     """
     records = _records([("l", left), *[("r", r) for r in rights]], record, name, address, country)
-    edges = _prune(_edges(cut(_with_weights(records))), keep_ratio)
-    compared = edges.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double")
+    edges = _prune(_edges(records), keep_ratio).select("a", "b")
+    of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").alias("a" + x)).dropDuplicates([x])
+    full = edges.join(of("l", "a"), "a").join(of("r", "b"), "b")
+    compared = full.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double")
     final = _propagate(compared, rounds).where(f"s >= {STRONG}")
     return final.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("s", 4).alias("confidence"))

@@ -56,6 +56,7 @@ GIVEN = {n: n for n in NICKNAMES} | {s: n for n, v in NICKNAMES.items() for s in
 #: Names of one consonant letter of Devanagari; vowels are left out of the skeleton.
 DEVANAGARI = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "k k g g n c c j j n t t d d n t t d d n p f b b m i r l v s s s h".split()))
 _NEAR_TRADE = NearLookup([*TRADES, *TRADE_SECOND], lambda w: 1 if len(w) < 8 else 2)
+_NEAR_SECOND = NearLookup(TRADE_SECOND, lambda w: 1)
 _NEAR_SHORT = NearLookup([*SHORT, *TRADE_SECOND.values()], lambda w: 1)
 _NEAR_GIVEN = NearLookup(NICKNAMES, lambda w: 1 if len(w) < 8 else 2)
 _NEAR_LEGAL = NearLookup(["private", "limited", "company", "corporation", "incorporated"], lambda w: 1)
@@ -148,9 +149,10 @@ def parse_name(raw: str | None) -> tuple[str, str, str, str] | None:
         if len(w) == 1:
             given = given or w
             continue
-        tr = trade_of(w) if not plainly or w in TRADES or w in SHORT or w in SECOND else ""
-        if plainly and not tr and trade_of(w) == "+":
-            tr = "+"
+        if not plainly or w in TRADES or w in SHORT or w in SECOND:
+            tr = trade_of(w)
+        else:
+            tr = "+" if len(w) >= 5 and _NEAR_SECOND.find(w) else ""
         if tr:
             if tr != "+":
                 trade = trade or tr

@@ -72,11 +72,13 @@ def within(a: str, b: str, k: int) -> bool:
     return row[-1] <= k
 
 
-def _deletes(word: str, k: int) -> set[str]:
-    out = {word}
-    for _ in range(k):
-        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
-    return out
+def _one_less(w: str) -> list[str]:
+    return [w[:i] + w[i + 1 :] for i in range(len(w))]
+
+
+def _two_less(w: str) -> list[str]:
+    n = len(w)
+    return [w[:i] + w[i + 1 : j] + w[j + 1 :] for i in range(n) for j in range(i + 1, n)]
 
 
 class NearLookup:
@@ -85,16 +87,25 @@ class NearLookup:
     def __init__(self, words, reach):
         self.reach, self.index = reach, {}
         for w in words:
-            for d in _deletes(w, reach(w)):
+            for d in {w, *_one_less(w), *(_two_less(w) if reach(w) > 1 else ())}:
                 self.index.setdefault(d, []).append(w)
+        self.deep = any(reach(w) > 1 for w in words)
+        self.lengths = {len(w) + k for w in words for k in range(-reach(w), reach(w) + 1)}
 
     def find(self, token: str) -> str:
         """The nearest word, '' if none; of equally near ones the first in the alphabet."""
-        hits = set()
-        for d in _deletes(token, 2 if len(token) >= 7 else 1):
-            hits.update(self.index.get(d, ()))
+        n = len(token)
+        if n not in self.lengths:
+            return ""
+        index = self.index
+        hits = [d for d in (token, *_one_less(token)) if d in index]
+        if self.deep and n >= 7:
+            hits += [d for d in _two_less(token) if d in index]
+        if not hits:
+            return ""
+        words = {w for d in hits for w in index[d]}
         for k in (0, 1, 2):
-            near = sorted(w for w in hits if k <= self.reach(w) and within(token, w, k))
+            near = sorted(w for w in words if k <= self.reach(w) and within(token, w, k))
             if near:
                 return near[0]
         return ""

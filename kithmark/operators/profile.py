@@ -8,26 +8,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kithmark.functions.text import is_lower, is_title, is_upper, parse_match_ids
 
-# Patterns of the reports.
+#: White space of all scripts, and the edges of a word in letters and digits of all scripts; understood alike by Java and RE2.
+_WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _word(p: str) -> str:
+    return rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{p})(?:$|[^\p{{L}}\p{{N}}_])"
+
+
+# Patterns of the reports; words are looked for in any case.
 NAME_FLAGS = {
-    "leading_dashes": r"^--", "leading_angles": r"^<<", "leading_stars": r"^\*", "leading_hash": r"^#", "non_ascii": r"[^\x00-\x7F]",
-    "double_space": r"  ", "ampersand": r"&", "comma": r",", "period": r"\.", "parenthesis": r"[()]", "slash": r"/",
+    "ampersand": r"&", "slash": r"/", "period": r"\.", "comma": r",", "parenthesis": r"[()]", "non_ascii": r"[^\x00-\x7F]",
+    "repeated_space": _WS + "{2,}", "leading_dash": r"^-", "leading_angle": r"^<", "and_word": _word("and"),
 }
 ADDRESS_FLAGS = {
-    "non_ascii": r"[^\x00-\x7F]", "semicolon": r";", "slash": r"/", "hash": r"#", "double_space": r"  ", "parenthesis": r"[()]",
-    "null_word": r"(?i)\bnull\b", "comma": r",",
+    "comma": r",", "dash": r"-", "slash": r"/", "hash": r"#", "non_ascii": r"[^\x00-\x7F]", "repeated_space": _WS + "{2,}",
+    "null_word": _word("null"), "blank": r"^" + _WS + r"*$",
 }
 LEGAL_SUFFIXES = {
-    "pvt_ltd": r"(?i)\bpvt\.?\s*ltd\.?", "private_limited": r"(?i)\bprivate\s+limited\b", "limited": r"(?i)\blimited\b", "ltd": r"(?i)\bltd\b",
-    "llc": r"(?i)\bllc\b", "llp": r"(?i)\bllp\b", "inc": r"(?i)\binc\b", "corp": r"(?i)\bcorp\b", "corporation": r"(?i)\bcorporation\b",
-    "co": r"(?i)\bco\b", "sarl": r"(?i)\bsarl\b",
+    "ltd": _word("ltd|limited"), "pvt": _word("pvt|private"), "corp": _word("corp|corporation"), "inc": _word("inc|incorporated"), "llc": _word("llc"),
+    "llp": _word("llp"), "co": _word("co|company"), "pvt_ltd": r"pvt\.?" + _WS + r"*ltd\.?", "sarl": _word("sarl"), "sas": _word(r"s\.?a\.?s"), "sci": _word("sci"),
 }
-POSTAL = {"six_digits": r"\b\d{6}\b", "five_digits": r"\b\d{5}\b", "five_four": r"\b\d{5}-\d{4}\b"}
+POSTAL = {"six_digits": _word(r"\p{Nd}{6}"), "five_digits": _word(r"\p{Nd}{5}"), "five_four": _word(r"\p{Nd}{5}-\p{Nd}{4}")}
 COMPONENTS = {
-    "street": r"(?i)\b(street|st)\b", "road": r"(?i)\b(road|rd)\b", "avenue": r"(?i)\b(avenue|ave)\b", "lane": r"(?i)\b(lane|ln)\b",
-    "boulevard": r"(?i)\b(boulevard|blvd)\b", "drive": r"(?i)\b(drive|dr)\b", "nagar": r"(?i)\bnagar\b", "colony": r"(?i)\bcolony\b",
-    "sector": r"(?i)\bsector\b", "floor": r"(?i)\b(floor|fl)\b", "suite": r"(?i)\b(suite|ste)\b", "unit": r"(?i)\b(unit|apt|flat)\b",
-    "near": r"(?i)\b(near|opp|behind)\b",
+    "street": _word("st|street"), "road": _word("rd|road"), "avenue": _word("ave|avenue"), "blvd": _word("blvd"), "drive": _word("dr|drive"),
+    "nagar": _word("nagar"), "marg": _word("marg"), "colony": _word("colony"), "ganj": _word("ganj"), "rue": _word("rue"),
+    "boulevard": _word("boulevard"), "vihar": _word("vihar"), "po_box": _word("po" + _WS + "*box"),
 }
 
 
@@ -42,9 +48,9 @@ def _long(df: DataFrame, names: list[str], key: str = "metric", value: str = "n"
 
 
 def flag_counts(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
-    """``metric, n``: rows of ``column`` that match each pattern; null matches nothing."""
+    """``metric, n``: rows of ``column`` that match each pattern in any case; null is the empty text."""
     v = F.coalesce(F.col(column), F.lit(""))
-    return _long(df.agg(*[_n(v.rlike(p)).alias(k) for k, p in patterns.items()]), list(patterns))
+    return _long(df.agg(*[_n(v.rlike("(?iu)" + p)).alias(k) for k, p in patterns.items()]), list(patterns))
 
 
 def missing(df: DataFrame, columns: list[str]) -> DataFrame:

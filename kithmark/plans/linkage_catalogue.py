@@ -356,7 +356,7 @@ def casing_counts(spark, d):
 
 
 def _flags_sql(column: str, patterns: dict[str, str]) -> str:
-    each = " UNION ALL ".join(f"SELECT '{k}' AS metric, count(*) FILTER (regexp_matches(coalesce({column}, ''), '{p}')) AS n FROM {T1}" for k, p in patterns.items())
+    each = " UNION ALL ".join(f"SELECT '{k}' AS metric, count(*) FILTER (regexp_matches(coalesce({column}, ''), '(?i){p}')) AS n FROM {T1}" for k, p in patterns.items())
     return each
 
 

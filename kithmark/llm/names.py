@@ -309,7 +309,7 @@ def same_firm_pairs(df: DataFrame, *, record: str, raw: str, normalized: str) ->
     names = rows.groupBy("norm").agg(F.min("raw").alias("raw"), F.count_distinct("id").alias("n"))
     formed = cut(spelling_forms(names, ["norm", "n"], "raw").where("form is not null"))
     forms = formed.select("form").distinct()
-    classes = firm_classes(forms, form_links(forms))
+    classes = firm_classes(forms, cut(form_links(forms)))  # asked several times
     named = cut(skew_join(formed, classes, "form").select("norm", "firm", "n"))
     x, y = named.selectExpr("firm", "norm as a", "n as na"), named.selectExpr("firm", "norm as b")
     norm_pairs = x.join(y, "firm").where("a < b").select("a", "b", "na")

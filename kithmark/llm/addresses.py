@@ -285,13 +285,15 @@ def with_corpus(parsed: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def met(left: DataFrame, right: DataFrame) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, attrs: str | None = None) -> DataFrame:
     """``a, b, k``: ids that share a key, once for each key; both sides have ``id, strong, weak, open``.
 
+    With ``attrs``, that column of either side comes out as ``na, nb``.
+
     Two addresses with postcodes can only be the same place if number and postcode agree. The weaker keys are
     asked only where one of the two has no postcode, so their number stays in proportion to the records.
     """
-    ids = lambda d, x, k: d.select(k.alias("k"), F.col("id").alias(x))
+    ids = lambda d, x, k: d.select(k.alias("k"), F.col("id").alias(x), *([F.col(attrs).alias("n" + x)] if attrs else []))
     strong = lambda d, x: ids(d, x, F.col("strong")).where("k is not null")
     weak = lambda d, x: ids(d, x, F.explode("weak"))
     some = strong(left, "a").join(strong(right, "b"), "k")

@@ -2,9 +2,9 @@
 
 1. Every record gets attributes: hashes of address components and its name words. The weight of an
    attribute is the logarithm of its rarity over all records.
-2. Records of the two sides that share a place attribute are candidate edges; where one side has no
-   address, those that share the name attribute. The weight of an edge is the sum of its shared attributes.
-3. Meta-blocking prunes the edges that are light for both of their records.
+2. Records of the two sides that share a place attribute are candidate edges. The weight of an edge is the sum
+   of its shared attributes. Where one side has no address, records that share a name key are compared by name.
+3. Meta-blocking prunes the edges between places that are light for both of their records.
 4. The remaining edges get a similarity of names, given that the places agree. Uncertain edges are
    raised by their neighbours: b is like c, and c matches a. This is repeated until no edge changes.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kithmark.llm.addresses import SEPARATOR, met, pack, parse_address, same_place, unpack_place, with_corpus
 from kithmark.llm.names import form_of, same_firm
 from kithmark.llm.strings import lcs_ratio, sounds
+from kithmark.operators.heavy_keys import skew_join
 from kithmark.runtime import cut
 
 #: An edge is kept if its weight is at least this part of the mean weight at either end.
@@ -74,28 +75,69 @@ def _records(sources: list[tuple[str, DataFrame]], record: str, name: str, addre
     return cut(with_corpus(cut(parsed), ["side", "id", "form", "names"]))
 
 
+def _name_weights(records: DataFrame) -> DataFrame:
+    """``form, attrs``: the name attributes of a form, each as 32 bits of hash and its weight in thousandths.
+
+    Attributes are the name keys and the words of the proper name as they sound; counts are taken by form, so that
+    a name that many records have is one row.
+    """
+
+    def attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, n, k) for f, n in zip(b["form"], b["n"]) for k in {*name_keys(f).split(" "), *("n" + sounds(w) for w in f.split("|")[0].split())}]
+            yield pd.DataFrame(rows, columns=["form", "n", "k"])
+
+    each = cut(records.groupBy("form").agg(F.count(F.lit(1)).alias("n")).mapInPandas(attributes, "form string, n long, k string"))
+    n = records.count()
+    rarity = F.round(F.log((F.lit(n) + 1.0) / F.sum("n")) * 1000).cast("long")
+    weight = each.groupBy("k").agg(rarity.alias("w"))
+    packed = F.shiftleft(F.hash("k").cast("long"), 32) + F.greatest("w", F.lit(0))
+    return each.join(weight, "k").groupBy("form").agg(F.collect_list(packed).alias("attrs"))
+
+
 def _edges(records: DataFrame) -> DataFrame:
-    """Candidate edges ``a, b, weight``, each once: only keys and ids are moved.
+    """Candidate edges ``a, b, weight`` of records with addresses, each once: only keys, ids and packed name attributes are moved.
 
     A record delivered twice has its keys twice; the pairs are made distinct per key before they are weighed.
     """
     # a name at a house number is an attribute of its own: rare, and left when the street is damaged
     at_number = F.xxhash64(F.lit("x"), F.split_part("addr", F.lit(SEPARATOR), F.lit(1)), F.split_part("names", F.lit(" "), F.lit(1)))
-    placed = records.where("strong is not null or size(weak) > 0").select("side", "id", "strong", F.array_append("weak", at_number).alias("weak"), "open")
+    placed = records.where("strong is not null or size(weak) > 0").select("side", "id", "form", "strong", F.array_append("weak", at_number).alias("weak"), "open")
     n = records.count()
     all_keys = placed.select(F.explode(F.concat("weak", F.array("strong"))).alias("k"))
     weight = all_keys.groupBy("k").count().select("k", F.log((F.lit(n) + 1.0) / F.col("count")).cast("float").alias("w")).where("w > 0")
-    met_at = met(placed.where("side = 'l'"), placed.where("side = 'r'")).join(weight, "k").select("a", "b", "k", "w")
+    placed = cut(skew_join(placed, _name_weights(records), "form").select("side", "id", "strong", "weak", "open", "attrs"))
+    shared = F.aggregate(F.array_intersect("na", "nb"), F.lit(0).cast("long"), lambda t, x: t + x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    met_at = met(placed.where("side = 'l'"), placed.where("side = 'r'"), attrs="attrs").select("a", "b", "k", (shared / 1000).cast("float").alias("nw")).join(weight, "k")
+    each = met_at.groupBy("a", "b", "k").agg(F.max("w").alias("w"), F.max("nw").alias("nw"))
+    return each.groupBy("a", "b").agg((F.sum("w") + F.max("nw")).alias("weight"))
+
+
+def _named(records: DataFrame) -> DataFrame:
+    """``a, b, fa, fb, s``: pairs in which a record has no address and the name decides.
+
+    Names are compared by form, once for all records that have it, and none is pruned: how many records share
+    the exact spelling says nothing about a misspelt one.
+    """
+    flag = lambda cond: F.max(F.expr(cond).cast("int")).alias
+    forms = records.groupBy("form", "names").agg(flag("side = 'l'")("l"), flag("side = 'r'")("r"), flag("side = 'l' and addr is null")("bl"), flag("side = 'r' and addr is null")("br"))
+    keyed = cut(forms.select("form", "l", "r", "bl", "br", F.explode(F.split("names", " ")).alias("t")).withColumn("k", F.xxhash64("t")).drop("t"))
+    x = lambda cond: keyed.where(cond).select("k", F.col("form").alias("fa"))
+    y = lambda cond: keyed.where(cond).select("k", F.col("form").alias("fb"))
+    cand = x("bl = 1").join(y("r = 1"), "k").unionByName(x("l = 1").join(y("br = 1"), "k")).select("fa", "fb").distinct()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.assign(s=[name_similarity(u, v) if u <= v else name_similarity(v, u) for u, v in zip(b["fa"], b["fb"])])
+            yield b[b["s"] >= NAME_ALONE]
 
-    bare = F.col("addr").isNull()
-    names = records.select("side", "id", bare.alias("bare"), F.explode(F.split("names", " ")).alias("t")).select("side", "id", "bare", F.xxhash64("t").alias("k"))
-    x = names.where("side = 'l'").select("k", F.col("id").alias("a"), F.col("bare").alias("na"))
-    y = names.where("side = 'r'").select("k", F.col("id").alias("b"), F.col("bare").alias("nb"))
-    no_left = x.where("na").select("k", "a").join(y.select("k", "b"), "k")
-    no_right = x.where("not na").select("k", "a").join(y.where("nb").select("k", "b"), "k")
-    named = no_left.unionByName(no_right).select("a", "b", "k", F.lit(1.0).cast("float").alias("w"))
-    each = met_at.unionByName(named).groupBy("a", "b", "k").agg(F.max("w").alias("w"))
-    return each.groupBy("a", "b").agg(F.sum("w").alias("weight"))
+    same = cut(cand.mapInPandas(compare, "fa string, fb string, s double"))
+    of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").isNull().alias("n" + x)).distinct()
+    left, right = of("l", "a"), of("r", "b")
+    # the few records without address first
+    no_left = same.join(left.where("na"), "fa").join(right, "fb").select("a", "b", "fa", "fb", "s")
+    no_right = same.join(right.where("nb"), "fb").join(left.where("not na"), "fa").select("a", "b", "fa", "fb", "s")
+    return no_left.unionByName(no_right)
 
 
 def _prune(edges: DataFrame, keep_ratio: float) -> DataFrame:
@@ -156,5 +198,6 @@ def link(
     of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").alias("a" + x)).dropDuplicates([x])
     full = edges.join(of("l", "a"), "a").join(of("r", "b"), "b")
     compared = full.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double")
-    final = _propagate(compared, rounds).where(f"s >= {STRONG}")
+    # records delivered twice, with and without address, may meet in both ways
+    final = _propagate(compared.unionByName(_named(records)), rounds).where(f"s >= {STRONG}").groupBy("a", "b").agg(F.max("s").alias("s"))
     return final.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("s", 4).alias("confidence"))

@@ -1,5 +1,5 @@
 from kithmark.llm.components import parse_links
-from kithmark.llm.linkage import link
+from kithmark.llm.linkage import _edges, _records, link
 from kithmark.runtime import table
 
 COLUMNS = "entity_id string, business_name string, business_address string, country string, weight int, side string"
@@ -38,3 +38,20 @@ def test_recall_on_known_links(spark, sf_dir):
     got = link(table(spark, sf_dir, "train_source1_processed"), [table(spark, sf_dir, f"train_source{n}_processed") for n in (2, 3)], **ARGS).collect()
     found = {(r["left_id"], r["right_id"]) for r in got}
     assert len(truth & found) >= 0.95 * len(truth)
+
+
+def test_many_exact_spellings_hide_no_misspelt_one(spark):
+    name, wrong = "Klaporvenda Bakery", "Klaporvemda Bakery"
+    place = lambda i: f"{i} Grotrussar Road, Klaporgarh, Grokenesh 298598"
+    left = [(f"S1-{i}", name, place(i), "India") for i in range(1, 5)] + [("S1-9", wrong, place(9), "India")]
+    right = [("S2-1", name, None, "India")] + [(f"S3-{i}", wrong, "null", "India") for i in range(15)]
+    assert links(spark, left, right) == {(x[0], y[0]) for x in left for y in right}
+
+
+def test_place_edges_weigh_shared_names(spark):
+    place = "12 Grotrussar Road, Klaporgarh, Grokenesh 298598"
+    left = [("S1-1", "Hokla Dratro Industries", place, "India"), ("S1-2", "Suraya Mobile Point", place, "India")]
+    right = [("S2-1", "Hokla Dratra Industries", place, "India")]
+    records = _records([("l", frame(spark, left)), ("r", frame(spark, right))], *ARGS.values())
+    weight = {(r["a"], r["b"]): r["weight"] for r in _edges(records).collect()}
+    assert weight["S1-1", "S2-1"] > weight["S1-2", "S2-1"]

@@ -220,6 +220,13 @@ def same_place(a: dict, b: dict) -> bool:
     return both_posts
 
 
+def no_conflict(a: dict, b: dict) -> bool:
+    """Whether no part that both addresses give differs; said of addresses too poor for ``same_place``."""
+    if any(a[f] and b[f] and a[f] != b[f] for f in ("number", "kind", "post")):
+        return False
+    return all(same_word(a[f], b[f]) for f in ("street", "town") if a[f] and b[f])
+
+
 #: Fields of a parsed address and of an address that the corpus has been asked about, in their packed order.
 PARSED = ("number", "street", "kind", "post", "town", "region", "only", "street_sound", "town_sound")
 PLACE = ("number", "street", "kind", "post", "guess", "town", "region")

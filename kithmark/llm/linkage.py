@@ -17,8 +17,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kithmark.llm.addresses import SEPARATOR, met, pack, parse_address, same_place, unpack_place, with_corpus
-from kithmark.llm.names import form_of, same_firm
+from kithmark.llm.addresses import SEPARATOR, met, no_conflict, pack, parse_address, same_place, unpack_place, with_corpus
+from kithmark.llm.names import _orders, form_of, same_firm, skeleton
 from kithmark.llm.strings import lcs_ratio, sounds
 from kithmark.operators.heavy_keys import skew_join
 from kithmark.runtime import cut
@@ -27,6 +27,8 @@ from kithmark.runtime import cut
 KEEP_RATIO = 0.4
 #: Edges from STRONG on are matches; between MAYBE and STRONG neighbours decide.
 MAYBE, STRONG = 0.45, 0.75
+#: Names of more letters are searched by whole parts, so that the size of their keys is in proportion to their length.
+LONG = 40
 #: Without an address the name must be this certain.
 NAME_ALONE = 0.85
 
@@ -56,6 +58,42 @@ def name_keys(form: str) -> str:
     return f"f{core}|{trade} h{core[:5]}|{trade} t{core[-5:]}|{trade}"
 
 
+def _less(word: str) -> set[str]:
+    """A text and what is left of it without one letter; texts that differ by one error share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def search_keys(form: str, probe: bool) -> list[str]:
+    """Keys by which names meet: two forms that ``name_similarity`` takes for one firm by NAME_ALONE share one, if one of them probes.
+
+    Trades aren't part of a key, as one side may lack it. Every order of the words has its keys: the proper name as it
+    sounds, and those that stand typing errors. Of two errors at most one falls into the first or into the last half of a
+    name; short names may have one error. A native spelling is met by its skeleton.
+    """
+    tokens, trade, _ = form.split("|")
+    core = tokens.replace(" ", "")
+    out = {"f" + sounds(core)}
+    if len(skeleton(core)) >= 3:
+        out.add("#" + skeleton(core))
+    for spelt in _orders(tokens) if trade != "?" else ():
+        heard = sounds(spelt)
+        out.add("f" + heard)
+        for w in {spelt, heard}:
+            if 5 <= len(heard) <= 10 and len(w) <= LONG + 3:
+                out |= {"w" + v for v in _less(w)}
+            if len(heard) >= 8 or len(w) > LONG:
+                for n in range(len(w) - 2, len(w) + 3) if probe else (len(w),):
+                    if n > LONG:  # two errors, swaps across a border included, leave one of five parts whole
+                        cuts = [n * i // 5 for i in range(6)]
+                        for i, (u, v) in enumerate(zip(cuts, cuts[1:])):
+                            out |= {f"{i}of{n} {w[max(0, u + d) : v + d]}" for d in (range(-2, 3) if probe else (0,))}
+                        continue
+                    h, t = n // 2, n - n // 2
+                    for d in (-1, 0, 1) if probe else (0,):
+                        out |= {f"p{n} {v}" for v in _less(w[: h + d])} | {f"s{n} {v}" for v in _less(w[-t - d :])}
+    return sorted(out)
+
+
 def _records(sources: list[tuple[str, DataFrame]], record: str, name: str, address: str, country: str) -> DataFrame:
     """One row per record with a name: ``side, id, form, names, addr, strong, weak, open``."""
     rows = None
@@ -78,13 +116,13 @@ def _records(sources: list[tuple[str, DataFrame]], record: str, name: str, addre
 def _name_weights(records: DataFrame) -> DataFrame:
     """``form, attrs``: the name attributes of a form, each as 32 bits of hash and its weight in thousandths.
 
-    Attributes are the name keys and the words of the proper name as they sound; counts are taken by form, so that
+    Attributes are the name keys, the skeleton and the words of the proper name as they sound; counts are taken by form, so that
     a name that many records have is one row.
     """
 
     def attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, n, k) for f, n in zip(b["form"], b["n"]) for k in {*name_keys(f).split(" "), *("n" + sounds(w) for w in f.split("|")[0].split())}]
+            rows = [(f, n, k) for f, n in zip(b["form"], b["n"]) for k in {*name_keys(f).split(" "), "#" + skeleton(f.split("|")[0]), *("n" + sounds(w) for w in f.split("|")[0].split())}]
             yield pd.DataFrame(rows, columns=["form", "n", "k"])
 
     each = cut(records.groupBy("form").agg(F.count(F.lit(1)).alias("n")).mapInPandas(attributes, "form string, n long, k string"))
@@ -114,17 +152,29 @@ def _edges(records: DataFrame) -> DataFrame:
 
 
 def _named(records: DataFrame) -> DataFrame:
-    """``a, b, fa, fb, s``: pairs in which a record has no address and the name decides.
+    """``a, b, fa, fb, s``: pairs in which a record has no address, or none that can be searched, and the name decides.
 
     Names are compared by form, once for all records that have it, and none is pruned: how many records share
-    the exact spelling says nothing about a misspelt one.
+    the exact spelling says nothing about a misspelt one. Parts of an address that can't be searched mustn't conflict.
     """
+    records = records.withColumn("bare", F.expr("addr is null or strong is null and size(weak) = 0"))
     flag = lambda cond: F.max(F.expr(cond).cast("int")).alias
-    forms = records.groupBy("form", "names").agg(flag("side = 'l'")("l"), flag("side = 'r'")("r"), flag("side = 'l' and addr is null")("bl"), flag("side = 'r' and addr is null")("br"))
-    keyed = cut(forms.select("form", "l", "r", "bl", "br", F.explode(F.split("names", " ")).alias("t")).withColumn("k", F.xxhash64("t")).drop("t"))
-    x = lambda cond: keyed.where(cond).select("k", F.col("form").alias("fa"))
-    y = lambda cond: keyed.where(cond).select("k", F.col("form").alias("fb"))
-    cand = x("bl = 1").join(y("r = 1"), "k").unionByName(x("l = 1").join(y("br = 1"), "k")).select("fa", "fb").distinct()
+    forms = cut(records.groupBy("form").agg(flag("side = 'l'")("l"), flag("side = 'r'")("r"), flag("side = 'l' and bare")("bl"), flag("side = 'r' and bare")("br")))
+
+    def keys(probe: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [(f, k) for f in b["form"] for k in search_keys(f, probe)]
+                yield pd.DataFrame(rows, columns=["form", "k"])
+
+        return run
+
+    def keyed(cond: str, name: str, probe: bool) -> DataFrame:
+        return forms.where(cond).select("form").mapInPandas(keys(probe), "form string, k string").select(F.xxhash64("k").alias("k"), F.col("form").alias(name))
+
+    by_left = keyed("bl = 1", "fa", True).join(keyed("r = 1", "fb", False), "k")
+    by_right = keyed("l = 1", "fa", False).join(keyed("br = 1", "fb", True), "k")
+    cand = by_left.unionByName(by_right).select("fa", "fb").distinct()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,12 +182,24 @@ def _named(records: DataFrame) -> DataFrame:
             yield b[b["s"] >= NAME_ALONE]
 
     same = cut(cand.mapInPandas(compare, "fa string, fb string, s double"))
-    of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").isNull().alias("n" + x)).distinct()
+    # addresses are moved only if there are some that can't be searched
+    vague = not records.where("bare and addr is not null").isEmpty()
+    addr = F.col("addr") if vague else F.lit(None).cast("string")
+    of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("bare").alias("n" + x), addr.alias("a" + x)).distinct()
     left, right = of("l", "a"), of("r", "b")
     # the few records without address first
-    no_left = same.join(left.where("na"), "fa").join(right, "fb").select("a", "b", "fa", "fb", "s")
-    no_right = same.join(right.where("nb"), "fb").join(left.where("not na"), "fa").select("a", "b", "fa", "fb", "s")
-    return no_left.unionByName(no_right)
+    no_left = same.join(left.where("na"), "fa").join(right, "fb")
+    no_right = same.join(right.where("nb"), "fb").join(left.where("not na"), "fa")
+    both = no_left.unionByName(no_right, allowMissingColumns=True).select("a", "b", "fa", "fb", "s", "aa", "ab")
+    if not vague:
+        return both.drop("aa", "ab")
+
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [x is None or y is None or no_conflict(unpack_place(x), unpack_place(y)) for x, y in zip(b["aa"], b["ab"])]
+            yield b.loc[ok, ["a", "b", "fa", "fb", "s"]]
+
+    return both.mapInPandas(agree, "a string, b string, fa string, fb string, s double")
 
 
 def _prune(edges: DataFrame, keep_ratio: float) -> DataFrame:

@@ -1,5 +1,7 @@
+import random
+
 from kithmark.llm.components import parse_links
-from kithmark.llm.linkage import _edges, _records, link
+from kithmark.llm.linkage import NAME_ALONE, _edges, _records, link, name_similarity, search_keys
 from kithmark.runtime import table
 
 COLUMNS = "entity_id string, business_name string, business_address string, country string, weight int, side string"
@@ -55,3 +57,34 @@ def test_place_edges_weigh_shared_names(spark):
     records = _records([("l", frame(spark, left)), ("r", frame(spark, right))], *ARGS.values())
     weight = {(r["a"], r["b"]): r["weight"] for r in _edges(records).collect()}
     assert weight["S1-1", "S2-1"] > weight["S1-2", "S2-1"]
+
+
+def test_search_keys_hold_every_accepted_pair():
+    r = random.Random(3)
+    letters = "aeioubdgklmnprstvz"
+
+    def wrong(w):
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(w))
+            w = r.choice([w[:i] + w[i + 1 :], w[:i] + r.choice(letters) + w[i:], w[:i] + r.choice(letters) + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+        return w
+
+    accepted = 0
+    for _ in range(4000):
+        words = ["".join(r.choices(letters, k=r.randint(3, 9) if r.random() < 0.8 else r.randint(30, 60))) for _ in range(r.randint(1, 2))]
+        turned = [wrong(w) for w in (words[::-1] if r.random() < 0.5 else words)]
+        a, b = f"{' '.join(words)}|bakery|", f"{' '.join(turned)}|{r.choice(['bakery', ''])}|"
+        if name_similarity(a, b) >= NAME_ALONE:
+            accepted += 1
+            assert set(search_keys(a, True)) & set(search_keys(b, False)) and set(search_keys(a, False)) & set(search_keys(b, True)), (a, b)
+    assert accepted > 1000
+    assert sum(map(len, search_keys("x" + "ab" * 15_000 + "|bakery|", True))) < 5_000_000
+    native = "\u0938\u0941\u0930\u093e\u092f\u0924|?|"
+    assert name_similarity("surayat|bakery|", native) >= NAME_ALONE and set(search_keys("surayat|bakery|", True)) & set(search_keys(native, False))
+
+
+def test_names_without_address_meet_in_every_spelling(spark):
+    left = [("S1-1", "Klaporvenda Bakery", None, "India"), ("S1-2", "Tapril Zorsa Footwear", "", "India"), ("S1-3", "Hokladratromunda Bakery", A, "India"), ("S1-4", "Munterviloka Footwear", A, "India")]
+    right = [("S2-1", "Klaporvenda", B, "India"), ("S2-2", "Zorsa Tapril Footwear", A, "India"), ("S2-3", "Hoktadratromulda Bakery", None, "India"),
+             ("S2-4", "Munterviloka Footwear", "Klaporgarh, Grokenesh 298598", "India"), ("S2-5", "Munterviloka Footwear", "Stellargaon, Grokenesh 394937", "India")]
+    assert links(spark, left, right) == {(f"S1-{i}", f"S2-{i}") for i in range(1, 5)}

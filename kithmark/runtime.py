@@ -56,7 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables written by ``cut`` that nothing reads any more, such as those of the round before."""
+    for t in tables:
+        _drop(t.sparkSession, t._table)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

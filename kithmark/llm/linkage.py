@@ -15,85 +15,45 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kithmark.llm.addresses import SEPARATOR, met, no_conflict, pack, parse_address, same_place, unpack_place, with_corpus
-from kithmark.llm.names import _orders, form_of, same_firm, skeleton
+from kithmark.llm.names import given_agree, learn_words, lexicon_of, readings, same_firm, search_keys, skeletons, trade_keys, trades_agree
 from kithmark.llm.strings import lcs_ratio, sounds
 from kithmark.operators.heavy_keys import skew_join
-from kithmark.runtime import cut
+from kithmark.runtime import cut, free
 
 #: An edge is kept if its weight is at least this part of the mean weight at either end.
 KEEP_RATIO = 0.4
 #: Edges from STRONG on are matches; between MAYBE and STRONG neighbours decide.
 MAYBE, STRONG = 0.45, 0.75
-#: Names of more letters are searched by whole parts, so that the size of their keys is in proportion to their length.
-LONG = 40
-#: Without an address the name must be this certain.
-NAME_ALONE = 0.85
+#: Without an address the name must be this certain; and the match is less certain by this factor.
+NAME_ALONE, WITHOUT_PLACE = 0.85, 0.9
 
 
 @lru_cache(maxsize=300_000)
 def name_similarity(a: str, b: str) -> float:
-    """``same_firm`` where it says yes, else half the likeness of the proper names (0 in another trade)."""
+    """``same_firm`` where it says yes, else part of the likeness of the proper names (0 in another trade)."""
     if a == b:
         return 1.0
-    s = same_firm(a, b)
-    if s:
-        return s
-    (ta, ra, ga), (tb, rb, gb) = a.split("|"), b.split("|")
-    if ra and rb and ra != rb and "?" not in (ra, rb):
+    return same_firm(a, b) or max(_likeness(x, y) for x in readings(a) for y in readings(b))
+
+
+def _likeness(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
+    (ta, ra, ga), (tb, rb, gb) = a, b
+    if "?" not in (ra, rb) and not trades_agree(ra, rb):
         return 0.0
     r = lcs_ratio(sounds(ta.replace(" ", "")), sounds(tb.replace(" ", "")))
-    if "?" in (ra, rb):
-        return 0.4 * r
-    conflict = ga and gb and ga != gb and not (min(len(ga), len(gb)) == 1 and ga[0] == gb[0])
-    return (0.7 if not conflict else 0.5) * r
+    return r * (0.4 if "?" in (ra, rb) else 0.7 if given_agree(ga, gb) else 0.5)
 
 
 def name_keys(form: str) -> str:
     """Proper name as it sounds, its start and its end, each with the trade, as one text."""
-    tokens, trade, _ = form.split("|")
+    tokens, trade, _ = readings(form)[0]
     core, trade = sounds(tokens.replace(" ", "")), "" if trade == "?" else trade
     return f"f{core}|{trade} h{core[:5]}|{trade} t{core[-5:]}|{trade}"
 
 
-def _less(word: str) -> set[str]:
-    """A text and what is left of it without one letter; texts that differ by one error share one of these."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
-
-def search_keys(form: str, probe: bool) -> list[str]:
-    """Keys by which names meet: two forms that ``name_similarity`` takes for one firm by NAME_ALONE share one, if one of them probes.
-
-    Trades aren't part of a key, as one side may lack it. Every order of the words has its keys: the proper name as it
-    sounds, and those that stand typing errors. Of two errors at most one falls into the first or into the last half of a
-    name; short names may have one error. A native spelling is met by its skeleton.
-    """
-    tokens, trade, _ = form.split("|")
-    core = tokens.replace(" ", "")
-    out = {"f" + sounds(core)}
-    if len(skeleton(core)) >= 3:
-        out.add("#" + skeleton(core))
-    for spelt in _orders(tokens) if trade != "?" else ():
-        heard = sounds(spelt)
-        out.add("f" + heard)
-        for w in {spelt, heard}:
-            if 5 <= len(heard) <= 10 and len(w) <= LONG + 3:
-                out |= {"w" + v for v in _less(w)}
-            if len(heard) >= 8 or len(w) > LONG:
-                for n in range(len(w) - 2, len(w) + 3) if probe else (len(w),):
-                    if n > LONG:  # two errors, swaps across a border included, leave one of five parts whole
-                        cuts = [n * i // 5 for i in range(6)]
-                        for i, (u, v) in enumerate(zip(cuts, cuts[1:])):
-                            out |= {f"{i}of{n} {w[max(0, u + d) : v + d]}" for d in (range(-2, 3) if probe else (0,))}
-                        continue
-                    h, t = n // 2, n - n // 2
-                    for d in (-1, 0, 1) if probe else (0,):
-                        out |= {f"p{n} {v}" for v in _less(w[: h + d])} | {f"s{n} {v}" for v in _less(w[-t - d :])}
-    return sorted(out)
-
-
 def _records(sources: list[tuple[str, DataFrame]], record: str, name: str, address: str, country: str) -> DataFrame:
     """One row per record with a name: ``side, id, form, names, addr, strong, weak, open``."""
     rows = None
@@ -101,9 +61,12 @@ def _records(sources: list[tuple[str, DataFrame]], record: str, name: str, addre
         part = df.where(F.col(record).isNotNull()).select(F.col(record).alias("id"), F.lit(side).alias("side"), F.col(name).alias("n"), F.col(address).alias("a"), F.col(country).alias("c"))
         rows = part if rows is None else rows.unionByName(part)
 
+    learnt = learn_words(cut(rows.groupBy("n").agg(F.count(F.lit(1)).alias("times"))), "n", "times")
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = lexicon_of(learnt)
         for b in batches:
-            forms = [form_of(v) for v in b["n"]]
+            forms = [lexicon.form(v) for v in b["n"]]
             yield pd.DataFrame({
                 "side": b["side"], "id": b["id"], "form": forms, "names": [f and name_keys(f) for f in forms],
                 "addr": [pack(parse_address(r, c)) if f else None for r, c, f in zip(b["a"], b["c"], forms)],
@@ -113,6 +76,14 @@ def _records(sources: list[tuple[str, DataFrame]], record: str, name: str, addre
     return cut(with_corpus(cut(parsed), ["side", "id", "form", "names"]))
 
 
+def attributes_of(form: str) -> set[str]:
+    """Name keys, skeletons and words of a form."""
+    out = set(name_keys(form).split(" "))
+    for tokens, trade, _ in readings(form):
+        out |= {"#" + s for s in skeletons(tokens, trade)} | {"n" + sounds(w) for w in tokens.split()}
+    return out
+
+
 def _name_weights(records: DataFrame) -> DataFrame:
     """``form, attrs``: the name attributes of a form, each as 32 bits of hash and its weight in thousandths.
 
@@ -122,7 +93,7 @@ def _name_weights(records: DataFrame) -> DataFrame:
 
     def attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, n, k) for f, n in zip(b["form"], b["n"]) for k in {*name_keys(f).split(" "), "#" + skeleton(f.split("|")[0]), *("n" + sounds(w) for w in f.split("|")[0].split())}]
+            rows = [(f, n, k) for f, n in zip(b["form"], b["n"]) for k in attributes_of(f)]
             yield pd.DataFrame(rows, columns=["form", "n", "k"])
 
     each = cut(records.groupBy("form").agg(F.count(F.lit(1)).alias("n")).mapInPandas(attributes, "form string, n long, k string"))
@@ -161,20 +132,24 @@ def _named(records: DataFrame) -> DataFrame:
     flag = lambda cond: F.max(F.expr(cond).cast("int")).alias
     forms = cut(records.groupBy("form").agg(flag("side = 'l'")("l"), flag("side = 'r'")("r"), flag("side = 'l' and bare")("bl"), flag("side = 'r' and bare")("br")))
 
-    def keys(probe: bool):
+    def keyed(cond: str, name: str, probe: bool) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(f, k) for f in b["form"] for k in search_keys(f, probe)]
-                yield pd.DataFrame(rows, columns=["form", "k"])
+                rows = [(f, k, t) for f in b["form"] for t in (trade_keys(f),) for k in search_keys(f, probe)]
+                yield pd.DataFrame(rows, columns=["form", "k", "trades"])
 
-        return run
+        return forms.where(cond).select("form").mapInPandas(run, "form string, k string, trades array<string>").select(F.xxhash64("k").alias("k"), F.col("form").alias(name), "trades")
 
-    def keyed(cond: str, name: str, probe: bool) -> DataFrame:
-        return forms.where(cond).select("form").mapInPandas(keys(probe), "form string, k string").select(F.xxhash64("k").alias("k"), F.col("form").alias(name))
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Names with a trade meet where key and trade agree; a name without one meets all that share a key."""
+        with_trade = lambda d: d.withColumn("t", F.explode("trades")).where("t <> ''").select(F.xxhash64("k", "t").alias("k"), *[c for c in d.columns if c[0] == "f"])
+        without = F.array_contains("trades", "")
+        out = with_trade(x).join(with_trade(y), "k").unionByName(x.where(without).drop("trades").join(y.drop("trades"), "k"))
+        return out.unionByName(x.where(~without).drop("trades").join(y.where(without).drop("trades"), "k")).select("fa", "fb")
 
-    by_left = keyed("bl = 1", "fa", True).join(keyed("r = 1", "fb", False), "k")
-    by_right = keyed("l = 1", "fa", False).join(keyed("br = 1", "fb", True), "k")
-    cand = by_left.unionByName(by_right).select("fa", "fb").distinct()
+    by_left = meet(cut(keyed("bl = 1", "fa", True)), cut(keyed("r = 1", "fb", False)))
+    by_right = meet(cut(keyed("l = 1", "fa", False)), cut(keyed("br = 1", "fb", True)))
+    cand = by_left.unionByName(by_right).distinct()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -203,10 +178,11 @@ def _named(records: DataFrame) -> DataFrame:
 
 
 def _prune(edges: DataFrame, keep_ratio: float) -> DataFrame:
-    """Weighted node pruning: keeps an edge that isn't light at both of its ends."""
-    means = F.avg("weight").over(Window.partitionBy("a")).alias("ma")
-    both = edges.select("*", means).select("*", F.avg("weight").over(Window.partitionBy("b")).alias("mb"))
-    return both.where((F.col("weight") >= keep_ratio * F.col("ma")) | (F.col("weight") >= keep_ratio * F.col("mb"))).drop("ma", "mb")
+    """Weighted node pruning: keeps an edge that isn't light at both of its ends; the means are taken in partial aggregates."""
+    edges = cut(edges)
+    for x in ("a", "b"):
+        edges = edges.join(edges.groupBy(x).agg((F.avg("weight") * keep_ratio).alias("m" + x)), x)
+    return edges.where("weight >= ma or weight >= mb").select("a", "b", "weight")
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,10 +206,10 @@ def _support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[["a", "b"]].assign(s=got)
 
 
-def _propagate(edges: DataFrame, rounds: int) -> DataFrame:
-    """Raises uncertain edges by their neighbours until nothing changes: ``a, b, s``."""
+def _propagate(edges: DataFrame) -> DataFrame:
+    """Raises uncertain edges by their neighbours until nothing changes: ``a, b, s, placed``. Each round makes an edge strong for good, so there is an end."""
     edges = cut(edges)
-    for _ in range(rounds):
+    while True:
         grey, strong = edges.where(f"s < {STRONG}"), edges.where(f"s >= {STRONG}")
         g = grey.select("a", "b", "fa", "fb", F.col("s").alias("s0"))
         by_b = g.join(strong.select("a", F.col("fb").alias("v"), "s"), "a").select("a", "b", "s0", "s", F.col("fb").alias("u"), "v")
@@ -241,13 +217,13 @@ def _propagate(edges: DataFrame, rounds: int) -> DataFrame:
         raised = by_b.unionByName(by_a).distinct().mapInPandas(_support, "a string, b string, s double").groupBy("a", "b").agg(F.max("s").alias("up"))
         raised = cut(raised.where(f"up >= {STRONG}"))
         if raised.isEmpty():
-            break
-        edges = cut(edges.join(raised, ["a", "b"], "left").select("a", "b", "fa", "fb", F.coalesce("up", "s").alias("s")))
-    return edges.select("a", "b", "s")
+            return edges.select("a", "b", "s", "placed")
+        before, edges = edges, cut(edges.join(raised, ["a", "b"], "left").select("a", "b", "fa", "fb", F.coalesce("up", "s").alias("s"), "placed"))
+        free(before, raised)
 
 
 def link(
-    left: DataFrame, rights: list[DataFrame], *, record: str, name: str, address: str, country: str, keep_ratio: float = KEEP_RATIO, rounds: int = 10
+    left: DataFrame, rights: list[DataFrame], *, record: str, name: str, address: str, country: str, keep_ratio: float = KEEP_RATIO
 ) -> DataFrame:
     """``left_id, right_id, confidence``: matching records of ``left`` and any of ``rights``.
 
@@ -259,7 +235,8 @@ def link(
     edges = _prune(_edges(records), keep_ratio).select("a", "b")
     of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").alias("a" + x)).dropDuplicates([x])
     full = edges.join(of("l", "a"), "a").join(of("r", "b"), "b")
-    compared = full.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double")
+    compared = full.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double").withColumn("placed", F.lit(True))
     # records delivered twice, with and without address, may meet in both ways
-    final = _propagate(compared.unionByName(_named(records)), rounds).where(f"s >= {STRONG}").groupBy("a", "b").agg(F.max("s").alias("s"))
+    final = _propagate(compared.unionByName(_named(records).withColumn("placed", F.lit(False)))).where(f"s >= {STRONG}")
+    final = final.groupBy("a", "b").agg(F.max(F.col("s") * F.when(F.col("placed"), 1.0).otherwise(WITHOUT_PLACE)).alias("s"))
     return final.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("s", 4).alias("confidence"))

@@ -1,9 +1,10 @@
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from kithmark.llm.names import form_of, same_firm, same_firm_pairs, skeleton, suffix_keys
+from kithmark.llm.names import COMMON, form_links, form_of, learn_words, lexicon_of, same_firm, same_firm_pairs, skeleton, suffix_keys
 from kithmark.llm.strings import NearLookup, lcs_length, lcs_ratio, within
 
 COLUMNS = "entity_id string, business_name string, business_name_normalized string, firm int, form string"
@@ -51,7 +52,45 @@ def test_skeleton_of_both_scripts():
 
 
 def test_suffixes_are_indexed():
-    assert {k for k, *_ in suffix_keys("grilsuthan|bakery|")} >= {"grilsutan", "rilsutan", "bakery"}
+    assert set(suffix_keys("grilsuthan|bakery|")) >= {"grilsutan", "rilsutan", "+bakery"}
+
+
+@pytest.mark.parametrize("a, b, want", [
+    ("John Smithson Bakery", "Jack Smithson Bakery", True), ("James Ardenmoor Brewery", "Jim Ardenmoor Brewery", True), ("Michael Zandervort Ltd", "Mike Zandervort", True), ("Susan Fairwick Tailors", "Sue Fairwick Tailors", True),
+    ("Ted Gruzomar Ltd", "Theodore Gruzomar", True), ("Ted Gruzomar Ltd", "Edward Gruzomar", True), ("Edward Gruzomar Ltd", "Theodore Gruzomar", False), ("Aptaris Brewery", "Aptaris Bakery", False),
+    ("Harrowgate Brwry", "Harrowgate Brewery", True), ("Harrowgate Laundry", "Harrowgate Laundr", True), ("Harrowgate Florsts", "Harrowgate Florists", True), ("Auto Care Pellwick", "Pellwick Auto Care", True), ("Zorvan Cons.", "Zorvan Construction", True),
+    ("Zorvan Cons.", "Zorvan Consultants", True), ("Zorvan Construction", "Zorvan Consultants", False), ("Vimal Dairy Prod.", "Vimal Dairy Products", True), ("Brightstone Bakery", "brigptstone", True),
+])
+def test_general_words(a, b, want):
+    assert (same_firm(form_of(a), form_of(b)) > 0) is want
+
+
+def test_links_dont_depend_on_the_size_of_a_suffix(spark):
+    """More than COMMON forms on one suffix, trade and start: the links are those of comparing all pairs."""
+    r = random.Random(1)
+    words = ["".join(r.choices(["ba", "ko", "ri", "tu", "me", "la"], k=3)) + "ltstone" for _ in range(150)]
+    forms = sorted({f"{w}|{t}|" for w in words for t in r.choices(["bakery", "brewery", ""], k=1)} | {"brightstone|bakery|", "brigptstone||", "brihtstone|bakery|", "zrightstone|bakery|"} | {f"{w[1:]}|bakery|" for w in words[:20]})
+    want = {(a, b) for a, b in itertools.combinations(forms, 2) if same_firm(a, b)}
+    got = {(x["a"], x["b"]) for x in form_links(spark.createDataFrame([(f,) for f in forms], "form string")).collect()}
+    assert ("brightstone|bakery|", "brigptstone||") in got and got == want and len(forms) > 2 * COMMON
+
+
+def test_words_are_learnt_from_the_names(spark):
+    """A trade, a given name and its short form that no list has."""
+    r = random.Random(2)
+    core = ["".join(r.choices(["bra", "kol", "rin", "tus", "mev", "lag", "dop"], k=4)) for _ in range(60)]
+    names = [f"{c} falconry" for c in core[:30]] + [f"aurelius {c} {t}" for c, t in zip(core[30:], itertools.cycle(["bakery", "hotel", "falconry"]))] + [f"auri {c} {t}" for c, t in zip(core[30:40], itertools.cycle(["bakery", "hotel"]))]
+    frame = spark.createDataFrame([(n, 1) for n in names] + [("suraya mobile point", 500)] + [(f"suraya{x} mobile point", 1) for x in "abcdefghijklmnopqrstuvwxyz"], "raw string, n long")
+    learnt = learn_words(frame, "raw", "n")
+    assert learnt == (("bakery", "falconry"), ("aurelius",), (("auri", "aurelius"),)) or learnt == (("falconry",), ("aurelius",), (("auri", "aurelius"),))
+    form = lexicon_of(learnt).form
+    assert same_firm(form("auri vestalgo hotel"), form("aurelius vestalgo hotel")) and not same_firm(form("vestalgo falconry"), form("vestalgo bakery"))
+    assert learn_words(frame.where("false"), "raw", "n") == ((), (), ())
+
+
+def test_vague_spelling_joins_no_firms(spark):
+    rows = [("S1-1", "Vestalgo Bakery"), ("S1-2", "Vestalgo Brewery"), ("S1-3", "Vestalgo"), ("S1-4", "Vestalgo Bkry"), ("S1-5", "Morindale Hotel"), ("S1-6", "Morindale")]
+    assert pairs(spark, rows) == {("S1-1", "S1-4"), ("S1-5", "S1-6")}
 
 
 @settings(max_examples=300, deadline=None)

@@ -1,9 +1,10 @@
 """Which postal addresses denote the same place.
 
-An address is brought to one spelling, parsed into components, and expanded into every plausible
-form (a single place word may be a town or a region; spellings are reduced to what they sound like).
-Combinations of components are hashed; addresses that share a hash are compared once, rejected where
-house numbers conflict, and accepted where street and town agree.
+An address is brought to one spelling and read in every plausible way: a place word may be a town or a region, a
+long number a house number or a postcode, a letter behind the number part of it or a direction, and where no street type
+is given the street may stand at several places. Combinations of the components of every reading are hashed; addresses
+that share any hash are compared once, rejected where house numbers conflict, and accepted where street and town agree in
+some reading of each.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kithmark.llm.forms import consistent_form
 from kithmark.llm.strings import lcs_ratio, sounds, within
@@ -36,15 +37,18 @@ COUNTRY_WORDS = {"india", "us", "usa", "france", "germany", "brazil", "kenya", "
 MISSING = {"", "null", "none", "nan", "n/a", "na", "-"}
 
 _TOKEN = re.compile(r" - |\d+(?:/\d+)?[a-z]*|[a-z]+(?:-[a-z]+)*|[,;|#]")
-_HOUSE = re.compile(r"\d{1,4}(?:/\d{1,3})?[a-z]?")
+_HOUSE = re.compile(r"\d{1,6}(?:/\d{1,4})?[a-z]?")
 # Words that begin something other than street, town or number, and what they begin.
 _BEGINS = (
     dict.fromkeys(("near", "nr", "behind", "opposite", "opp", "beside", "next", "adjacent"), "landmark")
     | dict.fromkeys(("unit", "flat", "suite", "apartment", "apt", "shop", "room", "phase", "sector", "block", "ward"), "unit")
     | dict.fromkeys(("door", "house", "plot", "bldg", "building", "kh", "h", "no", "number", "n"), "prefix")
     | dict.fromkeys(("ground", "first", "second", "third", "top"), "level")
-    | {"floor": "floor", "fl": "floor", "flr": "floor", "null": "nothing", "main": "bazar", "old": "town", "rear": "entrance"}
+    | {"floor": "floor", "fl": "floor", "flr": "floor", "null": "nothing"}
 )
+# Two words that tell where about, not which town.
+_PHRASES = {"main": {"bazar", "bazaar", "market", "gate"}, "old": {"town", "market", "bazar"}} | dict.fromkeys(("rear", "front", "side", "back"), {"entrance", "gate", "door", "wing"})
+_DIRECTIONS = {"n": "north", "s": "south", "e": "east", "w": "west", "north": "north", "south": "south", "east": "east", "west": "west"}
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
 _FLOOR = {"floor", "fl", "flr"}
 _ORDINAL = re.compile(r"\d+(?:st|nd|rd|th)")
@@ -71,18 +75,11 @@ def _country_words(country: str | None) -> frozenset[str]:
     return frozenset(_WORD.findall(plain(country))) | COUNTRY_WORDS
 
 
-def parse_address(raw: str | None, country: str | None = None) -> dict | None:
-    """Components of an address: number, street, kind, post, town, region; None if it is missing.
-
-    ``town`` is the first place word, ``region`` the last if there are several, ``only`` says that a
-    single place word was left, which may be either.
-    """
-    t = plain(raw)
-    if not t:
-        return None
-    raw_toks = _TOKEN.findall(t)
+def _scan(raw_toks: list[str], turn: bool) -> tuple[str, str, str, list[str]]:
+    """(number, postcode, direction, words and marks) of an address; ``turn``: a letter behind the number is a direction."""
     toks: list[str] = []
-    post = number = ""
+    longs: list[int] = []
+    number = direction = ""
     i, n = 0, len(raw_toks)
     while i < n:
         w = raw_toks[i]
@@ -94,20 +91,25 @@ def parse_address(raw: str | None, country: str | None = None) -> dict | None:
                 i += 1
                 toks.append("|")
             elif len(w) in (5, 6) and w.isdigit():
-                post = w
-                toks.append("|")
+                longs.append(len(toks))
+                toks.append(w)
             elif not number and _HOUSE.fullmatch(w):
                 number = w
-                if len(nxt) == 1 and nxt.isalpha() and nxt != "r" and w[-1].isdigit():
+                if len(nxt) == 1 and nxt.isalpha() and nxt != "r" and w[-1].isdigit() and not turn:
                     number += nxt
                     i += 1
                 toks.append("#")
             else:
                 toks.append("|")
         elif c == "#":
-            toks.append("#")
+            toks.append("|")
         elif not c.isalpha():
             toks.append("|")
+        elif w in _DIRECTIONS and toks and toks[-1] == "#" and nxt[0].isalpha() and nxt not in STREET_TYPES:
+            direction = _DIRECTIONS[w]
+        elif nxt in _PHRASES.get(w, ()):
+            i += 1
+            toks.append("|")
         else:
             begins = _BEGINS.get(w)
             if begins is None:
@@ -140,47 +142,58 @@ def parse_address(raw: str | None, country: str | None = None) -> dict | None:
                 if nxt.isdigit() and number:
                     i += 1
                 toks.append("|")
-            elif begins == "nothing":
-                toks.append("|")
-            elif nxt == begins:
-                i += 1
-                toks.append("|")
             else:
-                toks.append(w)
+                toks.append("|")
+    # a long number is the postcode, unless there is no other for the house
+    if not number and longs and (len(longs) > 1 or longs[0] == 0 or longs[0] + 1 < len(toks) and toks[longs[0] + 1] not in "|"):
+        number, toks[longs[0]] = toks[longs[0]], "#"
+        del longs[0]
+    post = toks[longs[-1]] if longs else ""
+    for k in longs:
+        toks[k] = "|"
+    return number, post, direction, toks
+
+
+def read_address(raw: str | None, country: str | None = None) -> list[dict]:
+    """Every plausible reading of an address, the likeliest first, as dicts of READING; [] if it is missing.
+
+    Where only one place word is left, it may be the town or a region (then ``lone`` is set). Where no street type is given, the street is
+    the first word, or the word behind or before the number.
+    """
+    t = plain(raw)
+    if not t:
+        return []
+    raw_toks = _TOKEN.findall(t)
     skip = _country_words(country)
-    street = kind = ""
-    at = -1
-    for i, w in enumerate(toks):
-        if w in STREET_TYPES:
-            k = STREET_TYPES[w]
-            before = toks[i - 1] if i else "|"
-            after = toks[i + 1] if i + 1 < len(toks) else "|"
-            if k in LEADING and after[0].isalpha() and after not in STREET_TYPES and not before[0].isalpha():
-                street, kind, at = after, k, i
-                toks[i] = toks[i + 1] = "|"
-                break
-            if before[0].isalpha() and before not in STREET_TYPES and w != "r":
-                street, kind, at = before, k, i - 1
-                toks[i] = toks[i - 1] = "|"
-                break
-    words, run = [], []
-    for w in toks + ["|"]:
-        if w[0].isalpha():
-            run.append(w)
-        elif run:
-            words.append(run)
-            run = []
-    full = [w for r in words for w in r if len(w) > 2 and w not in skip]
-    if not street and number and full:  # no type given: the word after the number
-        street = full[0]
-        full = full[1:]
-    # two-word towns end in a common noun; the first word tells them apart
-    full = [w for w in full if w not in ("falls", "city")]
-    return {
-        "number": number, "street": street, "kind": kind, "post": post, "town": full[0] if full else "",
-        "region": full[-1] if len(full) > 1 else "", "only": len(full) == 1,
-        "street_sound": _sound(street), "town_sound": _sound(full[0]) if full else "",
-    }
+    turns = any(x[0].isdigit() and y in "nsew" and z[0].isalpha() and z not in STREET_TYPES for x, y, z in zip(raw_toks, raw_toks[1:], raw_toks[2:]))
+    out: list[dict] = []
+    for turn in (False, True)[: 1 + turns]:
+        number, post, direction, toks = _scan(raw_toks, turn)
+        street = kind = ""
+        for i, w in enumerate(toks):
+            if w in STREET_TYPES:
+                k = STREET_TYPES[w]
+                before = toks[i - 1] if i else "|"
+                after = toks[i + 1] if i + 1 < len(toks) else "|"
+                if k in LEADING and after[0].isalpha() and after not in STREET_TYPES and not before[0].isalpha():
+                    street, kind = after, k
+                    toks[i] = toks[i + 1] = "|"
+                    break
+                if before[0].isalpha() and before not in STREET_TYPES and w != "r":
+                    street, kind = before, k
+                    toks[i] = toks[i - 1] = "|"
+                    break
+        full = [i for i, w in enumerate(toks) if w[0].isalpha() and len(w) > 2 and w not in skip]
+        ways = [(street, full)]
+        if not street and number and full:
+            at = toks.index("#") if "#" in toks else -1
+            ways = [(toks[i], [j for j in full if j != i]) for i in dict.fromkeys(i for i in (full[0], at + 1, at - 1) if i in full)]
+        for s, places in ways:
+            first, last = (toks[places[0]], toks[places[-1]]) if places else ("", "")
+            out.append(dict(zip(READING, (number, direction, s, kind, post, first, last if len(places) > 1 else "", ""))))
+            if len(places) == 1:
+                out.append(dict(zip(READING, (number, direction, s, kind, post, "", first, "1"))))
+    return [r for k, r in enumerate(out) if r not in out[:k]]
 
 
 def same_word(a: str, b: str) -> bool:
@@ -195,127 +208,136 @@ def same_word(a: str, b: str) -> bool:
     return within(x, y, 1 if min(len(x), len(y)) < 7 else 2) or within(a, b, 1 if min(len(a), len(b)) < 7 else 2)
 
 
-def same_place(a: dict, b: dict) -> bool:
-    """Number, street and town agree as far as they are given.
-
-    ``guess`` is the postcode that the corpus knows for the street; it can support a match, never refuse it.
-    """
+def _same_reading(a: dict, b: dict, of_a: tuple, of_b: tuple) -> bool:
+    if any(x["lone"] and not of[2] for x, of in ((a, of_a), (b, of_b))) and not (a["post"] and b["post"]):
+        return False  # neither two postcodes nor the corpus say that the place word isn't the town
     if not a["number"] or a["number"] != b["number"]:
         return False
-    if a["kind"] and b["kind"] and a["kind"] != b["kind"]:
+    if any(a[f] and b[f] and a[f] != b[f] for f in ("kind", "direction")):
         return False
-    if a["post"] and b["post"] and a["post"] != b["post"]:
+    near = a["post"] and b["post"] and a["post"] != b["post"]  # a slip in a postcode neither supports nor refuses
+    if near and not within(a["post"], b["post"], 1):
         return False
-    pa, pb = a["post"] or a["guess"], b["post"] or b["guess"]
+    pa, pb = a["post"] or of_a[1], b["post"] or of_b[1]
     both_posts = bool(pa) and pa == pb
     towns = None
     if a["town"] and b["town"]:
         towns = same_word(a["town"], b["town"]) or both_posts and lcs_ratio(a["town"], b["town"]) >= 0.7
-    if towns is False:
-        return False
-    if not (both_posts or towns):
+    if towns is False or not (both_posts or towns):
         return False
     if a["street"] and b["street"]:
         return same_word(a["street"], b["street"]) or both_posts and bool(towns) and lcs_ratio(a["street"], b["street"]) >= 0.7
     return both_posts
 
 
-def no_conflict(a: dict, b: dict) -> bool:
-    """Whether no part that both addresses give differs; said of addresses too poor for ``same_place``."""
-    if any(a[f] and b[f] and a[f] != b[f] for f in ("number", "kind", "post")):
-        return False
-    return all(same_word(a[f], b[f]) for f in ("street", "town") if a[f] and b[f])
+def same_place(a: tuple, b: tuple) -> bool:
+    """Whether number, street and town agree, as far as they are given, in some reading of either address.
 
+    An address is (readings, guess, region). The guess is the postcode that the corpus knows for the street, and can support a match,
+    never refuse it; region says that the corpus knows the only place word for a region.
+    """
+    return any(_same_reading(x, y, a, b) for x in a[0] for y in b[0])
 
-#: Fields of a parsed address and of an address that the corpus has been asked about, in their packed order.
-PARSED = ("number", "street", "kind", "post", "town", "region", "only", "street_sound", "town_sound")
-PLACE = ("number", "street", "kind", "post", "guess", "town", "region")
-SEPARATOR = "\x1f"
-#: A place word is taken for a region if at least this share of the addresses end in it; at most 2000 can.
-REGION_SHARE = 0.0005
 
+def no_conflict(a: tuple, b: tuple) -> bool:
+    """Whether in some reading no part that both give differs; said of addresses too poor for ``same_place``."""
+    def differ(x: dict, y: dict) -> bool:
+        return any(x[f] and y[f] and x[f] != y[f] for f in ("number", "kind", "post")) or not all(same_word(x[f], y[f]) for f in ("street", "town") if x[f] and y[f])
 
-def pack(address: dict | None) -> str | None:
-    """A parsed address as one text; columns of texts cross to Python and back far quicker than structs."""
-    return None if address is None else SEPARATOR.join("1" if v is True else "" if v is False else v for v in map(address.get, PARSED))
+    return any(not differ(x, y) for x in a[0] for y in b[0])
 
 
-@lru_cache(maxsize=100_000)
-def unpack_place(text: str) -> dict:
-    return dict(zip(PLACE, text.split(SEPARATOR)))
+#: Fields of a reading in their packed order.
+READING = ("number", "direction", "street", "kind", "post", "town", "region", "lone")
+#: Between fields, between readings, and before the guessed postcode and the mark of a region.
+SEPARATOR, NEXT, GUESS = "\x1f", "\x1e", "\x1d"
 
 
-def field(packed: str, name: str) -> Column:
-    """A field of a packed parsed address."""
-    return F.split_part(F.col(packed), F.lit(SEPARATOR), F.lit(PARSED.index(name) + 1))
+def pack(readings: list[dict]) -> str | None:
+    """Readings as one text; columns of texts cross to Python and back far quicker than structs."""
+    return NEXT.join(SEPARATOR.join(r.values()) for r in readings) or None
 
 
-def with_corpus(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep, addr, strong, weak, open``: packed places with what the corpus tells about them, and hashes.
+@lru_cache(maxsize=100_000)
+def unpack_place(text: str) -> tuple:
+    """(readings, guess, region) of a packed place."""
+    read, guess, region = text.split(GUESS)
+    return [dict(zip(READING, r.split(SEPARATOR))) for r in read.split(NEXT)], guess, bool(region)
+
 
-    ``parsed`` has ``keep`` and the packed parsed address ``addr`` and is materialised.
+def place_keys(readings: list[dict]) -> tuple[list[str], list[str]]:
+    """(strong, weak) keys of all readings; none without a house number.
 
-    * Words that end many addresses are regions; alone they aren't taken for a town.
-    * For a missing postcode, the one is guessed where the street occurs under one postcode only.
-    * ``strong`` is the hash of (number, postcode given or guessed), ``weak`` are those of (number, street) and
-      (number, town, start or end of the street) for every plausible reading; none without a house number.
-    * ``open``: an address without a postcode of its own.
+    Strong: number and postcode. Weak: number, street and either end of the town; number, town and either end of the
+    street. Addresses at one place share a strong key or, with up to one slip in street or town, a weak one.
     """
-    known = parsed.where("addr is not null")
-    ends = known.groupBy(field("addr", "region").alias("w")).count()
-    n = known.count()
-    # at most 1 / REGION_SHARE words can pass
-    regions = {sounds(r["w"]) for r in ends.where((F.col("w") != "") & (F.col("count") >= max(3, REGION_SHARE * n))).collect()}
-    parts = parsed.withColumns({f"_{f}": field("addr", f) for f in PARSED})
-    alone = (F.col("_only") == "1") & (F.col("_town_sound").isin(list(regions)) if regions else F.lit(False))
-    parts = parts.withColumns({
-        "_region": F.when(alone, F.col("_town")).otherwise(F.col("_region")), "_town": F.when(alone, F.lit("")).otherwise(F.col("_town")),
-        "_town_sound": F.when(alone, F.lit("")).otherwise(F.col("_town_sound")),
-    })
-    posts = (
-        known.select(field("addr", "street_sound").alias("_street_sound"), field("addr", "kind").alias("_kind"), field("addr", "post").alias("_p"))
-        .where("_p <> '' and _street_sound <> ''").groupBy("_street_sound", "_kind").agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"))
-        .where("lo = hi").select("_street_sound", "_kind", F.col("lo").alias("_guess"))
-    )
-    lacking = F.col("addr").isNotNull() & (F.col("_post") == "") & (F.col("_street_sound") != "")
-    both = parts.where(lacking).join(posts, ["_street_sound", "_kind"], "left").unionByName(parts.where(~lacking | lacking.isNull()).withColumn("_guess", F.lit("")))
-    both = both.withColumn("_guess", F.coalesce("_guess", F.lit("")))
-    likely = F.when(F.col("_post") != "", F.col("_post")).otherwise(F.col("_guess"))
-    key = lambda kind, *values: F.when((F.col("_number") != "") & (values[0] != ""), F.xxhash64(F.lit(kind), F.col("_number"), *values))
-    street, town = F.col("_street_sound"), F.col("_town_sound")
-    weak = [key("s", street), key("t", town, F.substring(street, 1, 1)), key("u", town, F.substring(street, -2, 2))]
-    there = F.col("addr").isNotNull()
-    place = F.concat_ws(SEPARATOR, *[F.col(f"_{f}") for f in PLACE])
-    return both.select(
-        *keep, F.when(there, place).alias("addr"), key("p", likely).alias("strong"), F.when(there, F.array_compact(F.array(*weak))).alias("weak"),
-        (there & (F.col("_post") == "")).alias("open"),
-    )
+    strong, weak = set(), set()
+    for r in readings:
+        n, s, t = r["number"], _sound(r["street"]), _sound(r["town"])
+        if not n:
+            continue
+        if r["post"]:
+            strong.add(f"p|{n}|{r['post']}")
+        if s and t:
+            weak |= {f"s|{n}|{s}|{t[:2]}", f"e|{n}|{s}|{t[-2:]}", f"t|{n}|{t}|{s[:2]}", f"u|{n}|{t}|{s[-2:]}"}
+    return sorted(strong), sorted(weak)
+
+
+def with_places(df: DataFrame, keep: list[str], raw: str, country: str, where: str | None = None) -> DataFrame:
+    """``keep, addr, strong, weak, open``: packed readings of the addresses and the hashes of their keys; written to a table.
+
+    ``open``: an address without a postcode of its own; if the corpus knows its street under one postcode only,
+    that is guessed. Its only place word is a region if the corpus has it more often behind another place word than
+    before one. ``where``: a column that must not be null for an address to be read.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", addr string, numbers array<string>, street string, post string, first string, last string, strong array<string>, weak array<string>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            wanted = b[where].notna() if where else [True] * len(b)
+            read = [read_address(r, c) if w else [] for r, c, w in zip(b[raw], b[country], wanted)]
+            keys = [place_keys(r) for r in read]
+            yield b[keep].assign(
+                addr=list(map(pack, read)), numbers=[sorted({x["number"] for x in r} - {""}) for r in read],
+                street=[f"{_sound(r[0]['street'])}|{r[0]['kind']}" if r and r[0]["street"] else None for r in read],
+                post=[r[0]["post"] or None if r else None for r in read], first=[_sound(r[0]["town"]) or None if r else None for r in read],
+                last=[_sound(r[0]["region"]) or None if r else None for r in read], strong=[k[0] for k in keys], weak=[k[1] for k in keys],
+            )
+
+    parsed = cut(df.select(*dict.fromkeys([*keep, raw, country])).mapInPandas(run, schema))
+    posts = parsed.where("post is not null and street is not null").groupBy("street").agg(F.min("post").alias("guess"), F.max("post").alias("hi")).where("guess = hi").drop("hi")
+    where_about = lambda c, x, y: parsed.where(f"{c} is not null and last is not null").groupBy(F.col(c).alias("word")).agg(F.sum(F.lit(x)).alias("behind"), F.sum(F.lit(y)).alias("before"))
+    regions = where_about("last", 1, 0).unionByName(where_about("first", 0, 1)).groupBy("word").agg(F.sum("behind").alias("behind"), F.sum("before").alias("before")).where("behind > before")
+    lacking = F.expr("addr is not null and post is null and street is not null and size(numbers) > 0")
+    both = parsed.where(lacking).join(posts, "street", "left").unionByName(parsed.where(~lacking).withColumn("guess", F.lit(None).cast("string")))
+    # only a lone place word is asked for
+    lone = F.expr("first is not null and last is null")
+    alone = both.where(lone).join(regions.select(F.col("word").alias("first"), F.lit(True).alias("region")), "first", "left")
+    both = alone.unionByName(both.where(~lone).withColumn("region", F.lit(False)))
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    guessed = F.when(F.col("guess").isNotNull(), F.transform("numbers", lambda n: F.concat(F.lit("p|"), n, F.lit("|"), F.col("guess")))).otherwise(F.col("strong"))
+    return cut(both.select(
+        *keep, F.concat("addr", F.lit(GUESS), F.coalesce("guess", F.lit("")), F.lit(GUESS), F.when(F.col("region"), "1").otherwise("")).alias("addr"), hashed(guessed).alias("strong"), hashed(F.col("weak")).alias("weak"),
+        F.expr("addr is not null and post is null").alias("open"),
+    ))
 
 
 def met(left: DataFrame, right: DataFrame, attrs: str | None = None) -> DataFrame:
     """``a, b, k``: ids that share a key, once for each key; both sides have ``id, strong, weak, open``.
 
-    With ``attrs``, that column of either side comes out as ``na, nb``.
-
-    Two addresses with postcodes can only be the same place if number and postcode agree. The weaker keys are
-    asked only where one of the two has no postcode, so their number stays in proportion to the records.
+    With ``attrs``, that column of either side comes out as ``na, nb``. Strong keys are asked everywhere, the weaker
+    ones here where one side has no postcode; see ``met_in_spite`` for the rest.
     """
-    ids = lambda d, x, k: d.select(k.alias("k"), F.col("id").alias(x), *([F.col(attrs).alias("n" + x)] if attrs else []))
-    strong = lambda d, x: ids(d, x, F.col("strong")).where("k is not null")
-    weak = lambda d, x: ids(d, x, F.explode("weak"))
-    some = strong(left, "a").join(strong(right, "b"), "k")
-    some = some.unionByName(weak(left.where("open"), "a").join(weak(right, "b"), "k"))
-    return some.unionByName(weak(left.where("not open"), "a").join(weak(right.where("open"), "b"), "k"))
+    ids = lambda d, x, k: d.select(F.explode(k).alias("k"), F.col("id").alias(x), *([F.col(attrs).alias("n" + x)] if attrs else []))
+    some = ids(left, "a", "strong").join(ids(right, "b", "strong"), "k")
+    some = some.unionByName(ids(left.where("open"), "a", "weak").join(ids(right, "b", "weak"), "k"))
+    return some.unionByName(ids(left.where("not open"), "a", "weak").join(ids(right.where("open"), "b", "weak"), "k"))
 
 
-def _parse(df: DataFrame, keep: list[str], raw: str, country: str) -> DataFrame:
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", addr string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[keep].assign(addr=[pack(parse_address(r, c)) for r, c in zip(b[raw], b[country])])
-
-    return df.select(*keep, *[c for c in (raw, country) if c not in keep]).mapInPandas(run, schema)
+def met_in_spite(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``a, b``: ids with different postcodes (one may be a slip) that share a weaker key, each pair once."""
+    ids = lambda d, x: d.where("not open").select(F.explode("weak").alias("k"), F.col("id").alias(x), F.col("strong").alias("s" + x))
+    return ids(left, "a").join(ids(right, "b"), "k").where(~F.arrays_overlap("sa", "sb")).select("a", "b").distinct()
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,9 +356,9 @@ def same_place_pairs(df: DataFrame, *, record: str, raw: str, normalized: str, c
     """
     rows = df.select(F.col(record).alias("id"), F.col(raw).alias("raw"), F.coalesce(F.col(normalized), F.lit("")).alias("norm"), F.col(country).alias("country"))
     rows = rows.where("norm <> '' and id is not null").dropDuplicates(["id", "norm"])
-    texts = rows.groupBy("norm").agg(F.min("raw").alias("raw"), F.min("country").alias("country"))
-    placed = cut(with_corpus(cut(_parse(texts, ["norm"], "raw", "country")), ["norm"]).where("strong is not null or size(weak) > 0").withColumnRenamed("norm", "id"))
-    cand = met(placed, placed).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    texts = rows.groupBy(F.col("norm").alias("id")).agg(F.min(F.struct("raw", "country")).alias("m")).select("id", "m.raw", "m.country")
+    placed = with_places(texts, ["id"], "raw", "country").where("size(strong) + size(weak) > 0")
+    cand = met(placed, placed).select("a", "b").unionByName(met_in_spite(placed, placed)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of = lambda x: placed.select(F.col("id").alias(x), F.col("addr").alias("a" + x))
     cand = cand.join(of("a"), "a").join(of("b"), "b")
     links = cand.select("a", "b", "aa", "ab").mapInPandas(_compare, "a string, b string")

@@ -17,7 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kithmark.llm.addresses import SEPARATOR, met, no_conflict, pack, parse_address, same_place, unpack_place, with_corpus
+from kithmark.llm.addresses import SEPARATOR, met, met_in_spite, no_conflict, same_place, unpack_place, with_places
 from kithmark.llm.names import given_agree, learn_words, lexicon_of, readings, same_firm, search_keys, skeletons, trade_keys, trades_agree
 from kithmark.llm.strings import lcs_ratio, sounds
 from kithmark.operators.heavy_keys import skew_join
@@ -67,13 +67,10 @@ def _records(sources: list[tuple[str, DataFrame]], record: str, name: str, addre
         lexicon = lexicon_of(learnt)
         for b in batches:
             forms = [lexicon.form(v) for v in b["n"]]
-            yield pd.DataFrame({
-                "side": b["side"], "id": b["id"], "form": forms, "names": [f and name_keys(f) for f in forms],
-                "addr": [pack(parse_address(r, c)) if f else None for r, c, f in zip(b["a"], b["c"], forms)],
-            })
+            yield b[["side", "id", "a", "c"]].assign(form=forms, names=[f and name_keys(f) for f in forms])
 
-    parsed = rows.mapInPandas(parse, "side string, id string, form string, names string, addr string").where("form is not null")
-    return cut(with_corpus(cut(parsed), ["side", "id", "form", "names"]))
+    named = rows.mapInPandas(parse, "side string, id string, a string, c string, form string, names string").where("form is not null")
+    return with_places(named, ["side", "id", "form", "names"], "a", "c")
 
 
 def attributes_of(form: str) -> set[str]:
@@ -111,9 +108,9 @@ def _edges(records: DataFrame) -> DataFrame:
     """
     # a name at a house number is an attribute of its own: rare, and left when the street is damaged
     at_number = F.xxhash64(F.lit("x"), F.split_part("addr", F.lit(SEPARATOR), F.lit(1)), F.split_part("names", F.lit(" "), F.lit(1)))
-    placed = records.where("strong is not null or size(weak) > 0").select("side", "id", "form", "strong", F.array_append("weak", at_number).alias("weak"), "open")
+    placed = records.where("size(strong) + size(weak) > 0").select("side", "id", "form", "strong", F.array_append("weak", at_number).alias("weak"), "open")
     n = records.count()
-    all_keys = placed.select(F.explode(F.concat("weak", F.array("strong"))).alias("k"))
+    all_keys = placed.select(F.explode(F.concat("weak", "strong")).alias("k"))
     weight = all_keys.groupBy("k").count().select("k", F.log((F.lit(n) + 1.0) / F.col("count")).cast("float").alias("w")).where("w > 0")
     placed = cut(skew_join(placed, _name_weights(records), "form").select("side", "id", "strong", "weak", "open", "attrs"))
     shared = F.aggregate(F.array_intersect("na", "nb"), F.lit(0).cast("long"), lambda t, x: t + x.bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -128,7 +125,7 @@ def _named(records: DataFrame) -> DataFrame:
     Names are compared by form, once for all records that have it, and none is pruned: how many records share
     the exact spelling says nothing about a misspelt one. Parts of an address that can't be searched mustn't conflict.
     """
-    records = records.withColumn("bare", F.expr("addr is null or strong is null and size(weak) = 0"))
+    records = records.withColumn("bare", F.expr("addr is null or size(strong) + size(weak) = 0"))
     flag = lambda cond: F.max(F.expr(cond).cast("int")).alias
     forms = cut(records.groupBy("form").agg(flag("side = 'l'")("l"), flag("side = 'r'")("r"), flag("side = 'l' and bare")("bl"), flag("side = 'r' and bare")("br")))
 
@@ -232,7 +229,9 @@ def link(
     an empty side gives no matches, further columns are ignored, long texts are read whole.
     """
     records = _records([("l", left), *[("r", r) for r in rights]], record, name, address, country)
-    edges = _prune(_edges(records), keep_ratio).select("a", "b")
+    placed = records.where("size(strong) + size(weak) > 0")
+    in_spite = met_in_spite(placed.where("side = 'l'"), placed.where("side = 'r'"))  # few; they share no rare key and aren't pruned
+    edges = _prune(_edges(records), keep_ratio).select("a", "b").unionByName(in_spite).distinct()
     of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").alias("a" + x)).dropDuplicates([x])
     full = edges.join(of("l", "a"), "a").join(of("r", "b"), "b")
     compared = full.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double").withColumn("placed", F.lit(True))

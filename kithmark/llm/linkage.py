@@ -132,21 +132,24 @@ def _named(records: DataFrame) -> DataFrame:
     def keyed(cond: str, name: str, probe: bool) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(f, k, t) for f in b["form"] for t in (trade_keys(f),) for k in search_keys(f, probe)]
+                rows = [(f, search_keys(f, probe), trade_keys(f)) for f in b["form"]]
                 yield pd.DataFrame(rows, columns=["form", "k", "trades"])
 
-        return forms.where(cond).select("form").mapInPandas(run, "form string, k string, trades array<string>").select(F.xxhash64("k").alias("k"), F.col("form").alias(name), "trades")
+        return cut(forms.where(cond).select("form").mapInPandas(run, "form string, k array<string>, trades array<string>").select(
+            F.xxhash64("form").alias(name), F.transform("k", lambda x: F.xxhash64(x)).alias("k"), "trades", F.array_contains("trades", "").alias("vague")))
 
     def meet(x: DataFrame, y: DataFrame) -> DataFrame:
         """Names with a trade meet where key and trade agree; a name without one meets all that share a key."""
-        with_trade = lambda d: d.withColumn("t", F.explode("trades")).where("t <> ''").select(F.xxhash64("k", "t").alias("k"), *[c for c in d.columns if c[0] == "f"])
-        without = F.array_contains("trades", "")
-        out = with_trade(x).join(with_trade(y), "k").unionByName(x.where(without).drop("trades").join(y.drop("trades"), "k"))
-        return out.unionByName(x.where(~without).drop("trades").join(y.where(without).drop("trades"), "k")).select("fa", "fb")
-
-    by_left = meet(cut(keyed("bl = 1", "fa", True)), cut(keyed("r = 1", "fb", False)))
-    by_right = meet(cut(keyed("l = 1", "fa", False)), cut(keyed("br = 1", "fb", True)))
-    cand = by_left.unionByName(by_right).distinct()
+        by_trade = lambda d, n: d.select(n, F.explode("trades").alias("t"), "k").where("t <> ''").select(n, F.explode(F.transform("k", lambda x: F.xxhash64(x, "t"))).alias("k"))
+        by_key = lambda d, n: d.select(n, F.explode("k").alias("k"))
+        out = by_trade(x, "ha").join(by_trade(y, "hb"), "k").unionByName(by_key(x.where("vague"), "ha").join(by_key(y, "hb"), "k"))
+        return out.unionByName(by_key(x.where("not vague"), "ha").join(by_key(y.where("vague"), "hb"), "k")).select("ha", "hb")
+
+    # only hashes of keys and forms are moved; the texts come back for the candidates
+    by_left = meet(keyed("bl = 1", "ha", True), keyed("r = 1", "hb", False))
+    by_right = meet(keyed("l = 1", "ha", False), keyed("br = 1", "hb", True))
+    text = lambda h, f: forms.select(F.xxhash64("form").alias(h), F.col("form").alias(f))
+    cand = by_left.unionByName(by_right).distinct().join(text("ha", "fa"), "ha").join(text("hb", "fb"), "hb").select("fa", "fb")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

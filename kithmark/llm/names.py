@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kithmark.llm.addresses import plain
@@ -277,17 +278,13 @@ def learn_words(names: DataFrame, raw: str, rows: str) -> tuple:
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         general = lexicon_of()
         for b in batches:
-            out = []
-            for v, n in zip(b[raw], b[rows]):
-                w = [x for x in general.words(v) if len(x) > 1 and x not in general.legal]
-                out += [(x, n, i == 0) for i, x in enumerate(dict.fromkeys(w)) if len(x) > 2 and not native(x)] if len(w) > 1 else []
-                out.append(("", n, False))
-            yield pd.DataFrame(out, columns=["w", "n", "first"])
-
-    each = names.mapInPandas(words, "w string, n long, first boolean")
-    counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("first").cast("int")).alias("first"), (F.max("n") / F.sum("n")).alias("top"))
-    total = names.count()
-    common = counts.where((F.col("w") != "") & (F.col("df") >= max(COMMON_LEAST, COMMON_SHARE * total)) & (F.col("top") <= TOP_NAME)).collect()  # at most 5 / COMMON_SHARE
+            yield pd.DataFrame({"words": [" ".join(x for x in general.words(v) if len(x) > 1 and x not in general.legal) for v in b[raw]], "n": b[rows]})
+
+    spelt = cut(names.mapInPandas(words, "words string, n long").where("words <> ''").groupBy("words").agg(F.sum("n").alias("n")))
+    each = spelt.where("words like '% %'").select("n", F.split("words", " ")[0].alias("one"), F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    counts = each.where(r"length(w) > 2 and not w rlike '[\u0900-\u0dff]'").groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum(F.expr("cast(w = one as int)")).alias("first"), (F.max("n") / F.sum("n")).alias("top"))
+    total = spelt.count()
+    common = counts.where((F.col("df") >= max(COMMON_LEAST, COMMON_SHARE * total)) & (F.col("top") <= TOP_NAME)).collect()  # at most 5 / COMMON_SHARE
     general = lexicon_of()
     trades = tuple(sorted(r["w"] for r in common if r["first"] * 2 <= r["df"] and r["w"] not in general.given))
     given = tuple(sorted(r["w"] for r in common if r["first"] * 2 > r["df"] and r["w"] not in general.given and r["w"] not in general.trades))
@@ -297,14 +294,14 @@ def learn_words(names: DataFrame, raw: str, rows: str) -> tuple:
         lexicon = lexicon_of(more)
         for b in batches:
             out = []
-            for v in b[raw]:
-                rest = [x for x in lexicon.words(v) if len(x) > 1 and x not in lexicon.legal and not lexicon.trade_of(x)]
-                if len(rest) > 1 and len(sounds("".join(rest[1:]))) >= 5:
+            for v in b["words"]:
+                rest = [x for x in v.split(" ") if x not in lexicon.trades]
+                if len(rest) > 1 and sum(map(len, rest[1:])) >= 5:
                     known = lexicon.given.get(rest[0], "")
                     out.append((" ".join(rest[1:]), rest[0], known if known == rest[0] else ""))
             yield pd.DataFrame(out, columns=["core", "u", "t"])
 
-    beside = names.mapInPandas(firsts, "core string, u string, t string").distinct()
+    beside = spelt.select("words").mapInPandas(firsts, "core string, u string, t string").distinct()
     full = beside.where("t <> ''").select("core", "t")
     found = beside.where("t = ''").select("core", "u").join(full, "core").groupBy("u", "t").agg(F.count_distinct("core").alias("n"))
     all_of = found.groupBy("u").agg(F.sum("n").alias("all"), F.max(F.struct("n", "t")).alias("m"))
@@ -378,8 +375,6 @@ def _same(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
 
 #: Shortest suffix that is indexed; suffixes carried by more forms than this are refined.
 MIN_SUFFIX, COMMON = 5, 60
-#: Names of more letters are searched by whole parts, so that the size of their keys is in proportion to their length.
-LONG = 40
 
 
 def trade_keys(form: str) -> list[str]:
@@ -402,39 +397,59 @@ def suffix_keys(form: str) -> list[str]:
     return sorted(out)
 
 
-def _less(word: str) -> set[str]:
-    """A text and what is left of it without one letter; texts that differ by one error share one of these."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+def _parts(text: str, errors: int) -> set[str]:
+    """A text cut into one part more than the errors it must stand; each with its number and the length of the text."""
+    n = len(text)
+    cuts = [n * i // (errors + 1) for i in range(errors + 2)]
+    return {f"{errors}{i}of{n} {_short(text[u:v])}" for i, (u, v) in enumerate(zip(cuts, cuts[1:]))}
+
+
+def _probes(text: str, errors: int) -> set[str]:
+    """Keys of which at least one is among the ``_parts`` of every text within so many errors.
+
+    An insertion, deletion or replacement damages one part, and the others are found moved by at most the errors. A swap
+    across a cut damages two parts, so it is also tried to undo it: then one of the two is whole.
+    """
+    out = set()
+    for n in range(max(errors + 1, len(text) - errors), len(text) + errors + 1):
+        cuts = [n * i // (errors + 1) for i in range(errors + 2)]
+        for i, (u, v) in enumerate(zip(cuts, cuts[1:])):
+            out |= {f"{errors}{i}of{n} {_short(text[u + d : v + d])}" for d in range(max(-errors, -u), errors + 1)}
+        for j in range(1, errors + 1):
+            for p in range(max(1, cuts[j] - errors + 1), min(len(text), cuts[j] + errors)):
+                undone = text[: p - 1] + text[p] + text[p - 1] + text[p + 1 :]
+                for i in (j - 1, j):
+                    u, v = cuts[i], cuts[i + 1]
+                    out |= {f"{errors}{i}of{n} {_short(undone[u + d : v + d])}" for d in range(max(1 - errors, -u), errors)}
+    return out
+
+
+def _short(text: str) -> str:
+    """The text, or its digest if it is long."""
+    return text if len(text) <= 40 else xxhash.xxh64_hexdigest(text)
 
 
 def search_keys(form: str, probe: bool) -> list[str]:
     """Keys by which names meet: two forms that ``same_firm`` accepts share one, if one of them probes.
 
     Trades aren't part of a key, as one side may lack it. Every order of the words has its keys: the proper name as it
-    sounds, and those that stand typing errors. Of two errors at most one falls into the first or into the last half of a
-    name; short names may have one error. A native spelling is met by its skeleton.
+    sounds, and parts that stand typing errors, two of them, or one in a short name. The side that probes has many more
+    keys than the other. A native spelling is met by its skeleton.
     """
     return sorted(set().union(*(_search_keys(tokens, trade, probe) for tokens, trade, _ in readings(form))))
 
 
 def _search_keys(tokens: str, trade: str, probe: bool) -> set[str]:
-    out = {"#" + s for s in skeletons(tokens, trade)} | {"f" + sounds(tokens.replace(" ", ""))}
+    out = {"#" + s for s in skeletons(tokens, trade)} | {"f" + _short(sounds(tokens.replace(" ", "")))}
+    of = _probes if probe else _parts
     for spelt in _orders(tokens) if trade != "?" else ():
         heard = sounds(spelt)
-        out.add("f" + heard)
+        out.add("f" + _short(heard))
         for w in {spelt, heard}:
-            if 5 <= len(heard) <= 10 and len(w) <= LONG + 3:
-                out |= {"w" + v for v in _less(w)}
-            if len(heard) >= 8 or len(w) > LONG:
-                for n in range(len(w) - 2, len(w) + 3) if probe else (len(w),):
-                    if n > LONG:  # two errors, swaps across a border included, leave one of five parts whole
-                        cuts = [n * i // 5 for i in range(6)]
-                        for i, (u, v) in enumerate(zip(cuts, cuts[1:])):
-                            out |= {f"{i}of{n} {w[max(0, u + d) : v + d]}" for d in (range(-2, 3) if probe else (0,))}
-                        continue
-                    h, t = n // 2, n - n // 2
-                    for d in (-1, 0, 1) if probe else (0,):
-                        out |= {f"p{n} {v}" for v in _less(w[: h + d])} | {f"s{n} {v}" for v in _less(w[-t - d :])}
+            if 5 <= len(heard) <= 10:
+                out |= of(w, 1)
+            if len(heard) >= 8:
+                out |= of(w, 2)
     return out
 
 

@@ -54,6 +54,9 @@ _FLOOR = {"floor", "fl", "flr"}
 _ORDINAL = re.compile(r"\d+(?:st|nd|rd|th)")
 
 
+_TURNS = frozenset("nsew")
+
+
 def plain(text: str | None) -> str:
     """Consistent form, lower case, without accents; '' for a missing value."""
     if text is None:
@@ -165,7 +168,7 @@ def read_address(raw: str | None, country: str | None = None) -> list[dict]:
         return []
     raw_toks = _TOKEN.findall(t)
     skip = _country_words(country)
-    turns = any(x[0].isdigit() and y in "nsew" and z[0].isalpha() and z not in STREET_TYPES for x, y, z in zip(raw_toks, raw_toks[1:], raw_toks[2:]))
+    turns = not _TURNS.isdisjoint(raw_toks) and any(x[0].isdigit() and y in _TURNS and z[0].isalpha() and z not in STREET_TYPES for x, y, z in zip(raw_toks, raw_toks[1:], raw_toks[2:]))
     out: list[dict] = []
     for turn in (False, True)[: 1 + turns]:
         number, post, direction, toks = _scan(raw_toks, turn)

@@ -14,7 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kithmark.llm.addresses import SEPARATOR, met, met_in_spite, no_conflict, same_place, unpack_place, with_places
@@ -119,6 +121,26 @@ def _edges(records: DataFrame) -> DataFrame:
     return each.groupBy("a", "b").agg((F.sum("w") + F.max("nw")).alias("weight"))
 
 
+#: Bits of the filter of asked keys: its size is fixed (2 MB); when it fills up it lets more through and loses none.
+ASKED = 1 << 24
+
+
+def _bits(keyed: DataFrame):
+    """Broadcast bits of the keys ``k`` (arrays) of a table."""
+    at = (F.col("k").bitwiseAND(F.lit(ASKED - 1)) + 1).alias("at")
+    got = keyed.select(F.explode("k").alias("k")).select(at).groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # ASKED / 8 bytes
+    bits = np.zeros(ASKED >> 3, dtype=np.uint8)
+    for r in got:
+        bits[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return keyed.sparkSession.sparkContext.broadcast(bits)
+
+
+def _among(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys may be among those asked for."""
+    at = (keys & np.uint64(ASKED - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _named(records: DataFrame) -> DataFrame:
     """``a, b, fa, fb, s``: pairs in which a record has no address, or none that can be searched, and the name decides.
 
@@ -129,14 +151,18 @@ def _named(records: DataFrame) -> DataFrame:
     flag = lambda cond: F.max(F.expr(cond).cast("int")).alias
     forms = cut(records.groupBy("form").agg(flag("side = 'l'")("l"), flag("side = 'r'")("r"), flag("side = 'l' and bare")("bl"), flag("side = 'r' and bare")("br")))
 
-    def keyed(cond: str, name: str, probe: bool) -> DataFrame:
+    def keyed(cond: str, name: str, asked=None) -> DataFrame:
+        """Hashes of the keys of forms; ``asked``: only those among its bits, for forms that don't probe."""
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(f, search_keys(f, probe), trade_keys(f)) for f in b["form"]]
-                yield pd.DataFrame(rows, columns=["form", "k", "trades"])
+                rows = []
+                for f in b["form"]:
+                    k = np.array([xxhash.xxh64_intdigest(x) for x in search_keys(f, asked is None)], dtype=np.uint64)
+                    rows.append((f, (k if asked is None else k[_among(k, asked.value)]).view(np.int64), trade_keys(f)))
+                yield pd.DataFrame([r for r in rows if len(r[1])], columns=["form", "k", "trades"])
 
-        return cut(forms.where(cond).select("form").mapInPandas(run, "form string, k array<string>, trades array<string>").select(
-            F.xxhash64("form").alias(name), F.transform("k", lambda x: F.xxhash64(x)).alias("k"), "trades", F.array_contains("trades", "").alias("vague")))
+        found = forms.where(cond).select("form").mapInPandas(run, "form string, k array<long>, trades array<string>")
+        return cut(found.select(F.xxhash64("form").alias(name), "k", "trades", F.array_contains("trades", "").alias("vague")))
 
     def meet(x: DataFrame, y: DataFrame) -> DataFrame:
         """Names with a trade meet where key and trade agree; a name without one meets all that share a key."""
@@ -145,15 +171,16 @@ def _named(records: DataFrame) -> DataFrame:
         out = by_trade(x, "ha").join(by_trade(y, "hb"), "k").unionByName(by_key(x.where("vague"), "ha").join(by_key(y, "hb"), "k"))
         return out.unionByName(by_key(x.where("not vague"), "ha").join(by_key(y.where("vague"), "hb"), "k")).select("ha", "hb")
 
-    # only hashes of keys and forms are moved; the texts come back for the candidates
-    by_left = meet(keyed("bl = 1", "ha", True), keyed("r = 1", "hb", False))
-    by_right = meet(keyed("l = 1", "ha", False), keyed("br = 1", "hb", True))
+    # only hashes of keys and forms are moved, and of the many forms only the keys that one of the few asks for; the texts come back for the candidates
+    few_left, few_right = keyed("bl = 1", "ha"), keyed("br = 1", "hb")
+    by_left = meet(few_left, keyed("r = 1", "hb", _bits(few_left)))
+    by_right = meet(keyed("l = 1", "ha", _bits(few_right)), few_right)
     text = lambda h, f: forms.select(F.xxhash64("form").alias(h), F.col("form").alias(f))
     cand = by_left.unionByName(by_right).distinct().join(text("ha", "fa"), "ha").join(text("hb", "fb"), "hb").select("fa", "fb")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.assign(s=[name_similarity(u, v) if u <= v else name_similarity(v, u) for u, v in zip(b["fa"], b["fb"])])
+            b = b.assign(s=[1.0 if u == v else same_firm(u, v) if u <= v else same_firm(v, u) for u, v in zip(b["fa"], b["fb"])])
             yield b[b["s"] >= NAME_ALONE]
 
     same = cut(cand.mapInPandas(compare, "fa string, fb string, s double"))
@@ -177,6 +204,16 @@ def _named(records: DataFrame) -> DataFrame:
     return both.mapInPandas(agree, "a string, b string, fa string, fb string, s double")
 
 
+def _in_spite(records: DataFrame) -> DataFrame:
+    """``a, b``: records whose places agree but for the postcode. Places are compared once for all their records; the few pairs aren't pruned."""
+    at = F.xxhash64("addr").alias("id")
+    places = records.where("size(weak) > 0 and not open").groupBy(at).agg(*[F.first(c).alias(c) for c in ("strong", "weak", "open")], F.max(F.expr("side = 'l'")).alias("l"), F.max(F.expr("side = 'r'")).alias("r"))
+    places = cut(places)
+    pairs = met_in_spite(places.where("l"), places.where("r")).withColumnsRenamed({"a": "pa", "b": "pb"})
+    of = lambda side, p, x: records.where(F.col("side") == side).select(F.xxhash64("addr").alias(p), F.col("id").alias(x))
+    return pairs.join(of("l", "pa", "a"), "pa").join(of("r", "pb", "b"), "pb").select("a", "b")
+
+
 def _prune(edges: DataFrame, keep_ratio: float) -> DataFrame:
     """Weighted node pruning: keeps an edge that isn't light at both of its ends; the means are taken in partial aggregates."""
     edges = cut(edges)
@@ -232,9 +269,7 @@ def link(
     an empty side gives no matches, further columns are ignored, long texts are read whole.
     """
     records = _records([("l", left), *[("r", r) for r in rights]], record, name, address, country)
-    placed = records.where("size(strong) + size(weak) > 0")
-    in_spite = met_in_spite(placed.where("side = 'l'"), placed.where("side = 'r'"))  # few; they share no rare key and aren't pruned
-    edges = _prune(_edges(records), keep_ratio).select("a", "b").unionByName(in_spite).distinct()
+    edges = _prune(_edges(records), keep_ratio).select("a", "b").unionByName(_in_spite(records)).distinct()
     of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").alias("a" + x)).dropDuplicates([x])
     full = edges.join(of("l", "a"), "a").join(of("r", "b"), "b")
     compared = full.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double").withColumn("placed", F.lit(True))

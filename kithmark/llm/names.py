@@ -316,6 +316,13 @@ def _orders(tokens: str) -> list[str]:
     return ["".join(w)] if len(w) < 2 else ["".join(w), "".join(w[1:] + w[:1])] + (["".join(w[2:] + w[:2])] if len(w) == 3 else [])
 
 
+@lru_cache(maxsize=200_000)
+def _letters(word: str) -> int:
+    """Which letters a word has, as bits."""
+    return sum({1 << (ord(c) & 63) for c in word})
+
+
+@lru_cache(maxsize=500_000)
 def _core_likeness(a: str, b: str) -> float:
     """Ratio of the longest common subsequence if the spellings differ by typing errors only, else 0."""
     if a == b:
@@ -326,9 +333,13 @@ def _core_likeness(a: str, b: str) -> float:
     n = min(len(x), len(y))
     if n < 5 or abs(len(x) - len(y)) > 2 and abs(len(a) - len(b)) > 2:
         return 0.0
-    r = max(lcs_ratio(x, y), lcs_ratio(a, b))
     k = 1 if n < 8 else 2
-    return r if r >= 0.8 and (within(x, y, k) or within(a, b, k)) else 0.0
+    # an error changes two letters at most
+    near = [(u, v) for u, v in ((x, y), (a, b)) if (_letters(u) ^ _letters(v)).bit_count() <= 2 * k]
+    if not near or not any(within(u, v, k) for u, v in near):
+        return 0.0
+    r = max(lcs_ratio(x, y), lcs_ratio(a, b))
+    return r if r >= 0.8 else 0.0
 
 
 @lru_cache(maxsize=100_000)
@@ -369,7 +380,8 @@ def _same(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
         return 0.9 if set(skeletons(ta, ra)) & set(skeletons(tb, rb)) else 0.0
     if not trades_agree(ra, rb) or not given_agree(ga, gb):
         return 0.0
-    score = max(_core_likeness(x, y) for x in _orders(ta) for y in _orders(tb))
+    x, y = _orders(ta), _orders(tb)  # to turn both round is to turn neither
+    score = max(_core_likeness(x[0], v) for v in y) if len(x) <= len(y) else max(_core_likeness(u, y[0]) for u in x)
     return score if bool(ra) == bool(rb) else score * 0.9
 
 

@@ -1,46 +1,47 @@
 """Pages of keywords, link lists and product tags, told from writing by how neighbouring words go together.
 
-Two passes gather counts over the whole corpus: in how many pages a word occurs, and in how many pages two
-words stand side by side. Words beyond the VOCABULARY commonest are counted as classes (names, numbers, other
-words), so both tables have a fixed largest size. The mean pointwise mutual information of neighbours says
-whether a line is coherent; word salad is not. A pair of words that a page repeats again and again though
-hardly any page has it is an excessive collocation and counts as incoherent. Lines with links or tags are
-told by their form. A page is spam if more than half of its lines are.
+Every page is put into printed order and cut into words once; the words are kept as hashes in a table. Two passes over it
+gather counts over the whole corpus: in how many pages a word occurs, and in how many two words stand side by side. All
+words and pairs above a share of the pages are counted, of any language; a text that occurs several times counts once. The mean
+pointwise mutual information of neighbours says whether a line is coherent; word salad is not. Words and pairs that
+the corpus doesn't know give no evidence either way. A pair of unknown words that a page repeats, or a word that makes up
+much of the page, is excessively repeated and counts as incoherent, known or not. An extension to the method: links and tags
+have no neighbours to speak of and are told by their form. A page is spam if more than half of its lines are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kithmark.llm.leakage import _FOLD
 from kithmark.llm.pages import page_lines
+from kithmark.operators.heavy_keys import skew_join
+from kithmark.runtime import cut
 
-#: Words with an own row in the tables, the commonest of those mostly written small. The tables have (VOCABULARY + 4) squared cells at most.
-VOCABULARY = 2000
-NAME, NUMBER, WORD, LINK = range(4)
-N_CLASSES = 4
+#: Words and pairs in at least this share of the pages are counted, and in so many pages at least. A page has about 400 pairs, so
+#: at most 400 / SUPPORT of them are known, whatever the size of the corpus.
+SUPPORT, LEAST_PAGES = 0.0002, 3
 #: A line is incoherent if the mean information of the neighbours in it and beside it is below this.
 INCOHERENT = -1.4
-#: A pair of unknown words is excessive if a page has it this often. A pair that this share of all pages has is writing.
-REPEATED, RARE, EXCESSIVE, LOWEST = 3, 0.003, -3.5, -3.0
-#: In a small corpus, so many pages at least.
-LEAST_PAGES = 3
-
-#: Information of two unknown words that aren't names.
-UNKNOWN_PAIR = -1.8
+#: Bounds of the information of a pair; a pair in this share of the pages is writing, unless a page repeats it too much.
+LOWEST, HIGHEST, WRITING = -3.0, 2.0, 0.003
+#: A pair of unknown words is excessive if a page has it this often; an excessive pair counts with this information.
+REPEATED, EXCESSIVE = 3, -3.5
+#: So often at least, and in more than this share of the words of a page, a word is a keyword: unknown, a name, or any word.
+OFTEN, KEYWORD, NAME_REFRAIN, ANY_WORD = 8, 0.05, 0.16, 0.27
+WORD, NAME, NUMBER, END = range(4)
 
 _BROKEN = re.compile(r"[-¬=~\u00ad]\n(?<=[^\W\d_].\n)([a-zß-ÿ]+)")
-_TOKEN = re.compile(r"[^\W_]+")
 _TOKEN_OR_LINE = re.compile(r"[^\W_]+|\n")
-END_OF_LINE = -1
-_TAG = re.compile(r"(?:^|\s)[#@][^\W\d_]\w")
+_TAG = re.compile(r"(?:^|\s)[#@+~][^\W\d_]\w")
 # an article's number, size or count, or a mark that leads on, at the end of a short line
 _PRODUCT = re.compile(r"\b(?:sk[un]|ref|art)\b[.:# ]{0,2}\d|\bsku\d|\b[s5][i1l]ze ?[\dlosb]{2}\b|\([\dlosb]{2,4}\)\s*$|\w\s*>\s*$", re.M)
 _PRODUCT_HINTS = ("sku", "skn", " ref", " art", ">", "(", "ize", "1ze", "lze")
@@ -74,7 +75,7 @@ def link_lines(text: str) -> list[bool]:
     for x, y in _LINE_PAIRS:
         b = b.replace(x, y)
     b = b.translate(_FOLD_LINE)
-    tagged = "#" in text or "@" in text or any(h in low for h in _PRODUCT_HINTS) and _PRODUCT.search(low) is not None
+    tagged = any(m in text for m in "#@+~") or any(h in low for h in _PRODUCT_HINTS) and _PRODUCT.search(low) is not None
     if not tagged and not any(h in b for h in _HINTS):
         return [False] * (text.count("\n") + 1)
     out = [any(h in l for h in _HINTS) and _LINK.search(l.decode()) is not None for l in b.split(b"\n")]
@@ -98,65 +99,113 @@ def _pages(docs: DataFrame, record: str, text: str, boxes: str | None) -> DataFr
 
 
 class Coder:
-    """Token -> (code, number of its folded form); remembers tokens, up to a bound."""
+    """Token -> hash of its folded form and its kind; remembers tokens, up to a bound."""
 
-    def __init__(self, index: dict[str, int] | None = None, most: int = 400_000):
-        self.index, self.most, self.seen, self.packed = index or {}, most, {}, {}
+    def __init__(self, most: int = 400_000):
+        self.most, self.seen = most, {"\n": END}
 
-    def pack(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and numbers of many tokens."""
-        if len(self.packed) > self.most:
-            self.packed.clear()
-        packed = self.packed
+    def codes(self, text: str) -> np.ndarray:
+        """Of every token and line end of a text: 32 bits of hash and two of kind. On pages mostly in capitals these aren't names."""
+        tokens = _TOKEN_OR_LINE.findall(text)
+        if len(self.seen) > self.most:
+            self.seen = {"\n": END}
+        seen = self.seen
         for t in tokens:
-            if t not in packed:
-                c, f, _ = self.code(t)
-                packed[t] = (c + 1) << 30 | f
-        both = np.fromiter(map(packed.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        return (both >> 30) - 1, both & 0x3FFFFFFF
-
-    def code(self, token: str) -> tuple[int, int, str]:
-        got = self.seen.get(token)
-        if got is None:
-            if len(self.seen) > self.most:
-                self.seen.clear()
-            if token == "\n":
-                self.seen[token] = got = (END_OF_LINE, 0, token)
-                return got
-            digits = sum(c.isdigit() for c in token)
-            if digits * 2 >= len(token) and digits:
-                w, c = "0", NUMBER
-            else:
-                w = fold(token)
-                c = self.index.get(w, NAME if token[0].isupper() else WORD)
-            got = self.seen[token] = (c, hash(w) & 0x3FFFFFFF, w)
-        return got
-
-
-def line_flags(text: str, coder: Coder, info: np.ndarray) -> np.ndarray:
+            if t not in seen:
+                seen[t] = self._code(t)
+        out = np.fromiter(map(seen.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        capitals = (out & 4) > 0
+        if 2 * capitals.sum() > ((out & 3) != END).sum():
+            out[capitals] &= ~3
+        return (out >> 3) << 2 | (out & 3)
+
+    def _code(self, token: str) -> int:
+        digits = sum(c.isdigit() for c in token)
+        if digits * 2 >= len(token) and digits:
+            return NUMBER
+        h = xxhash.xxh32_intdigest(fold(token)) << 3
+        return h | (NAME if token[0].isupper() else WORD) | (4 if len(token) > 1 and token.isupper() else 0)
+
+
+class Knowledge:
+    """Counts of the corpus as sorted arrays: hashes of known words, codes of known pairs and their information.
+
+    ``words`` has a row for each word: w, n pages, and in how many it is written small and with a capital.
+    """
+
+    def __init__(self, pages: int, words: pd.DataFrame, pairs: np.ndarray, pair_pages: np.ndarray):
+        self.pages, self.words, self.word_pages, self.least = pages, words["w"].to_numpy(np.int64), words["n"].to_numpy(np.float64), support(pages)
+        self.name = (words["capital"] >= words["small"]).to_numpy(bool)
+        self.small = np.clip(np.log((words["small"] + 0.1) / (words["n"] + 0.1)), LOWEST, 0).to_numpy(np.float32)
+        order = np.argsort(pairs)
+        self.pairs, n = pairs[order], pair_pages[order].astype(np.float64)
+        size = max(1, len(words))
+        expected = self.word_pages[self.pairs // size] * self.word_pages[self.pairs % size] / max(1, pages) if len(words) else n
+        value = np.clip(np.log((n - 1 + 0.1) / (expected + 0.1)), LOWEST, HIGHEST)  # other pages than the one that is judged
+        self.info = np.where(n >= max(LEAST_PAGES, WRITING * pages), np.maximum(value, 0), value).astype(np.float32)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of each word, -1 if unknown."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, -1)
+
+    def information(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of word indices; 0, neither for nor against, without evidence.
+
+        A pair of known words that isn't known itself is in less pages than the support; that tells something if more are expected.
+        """
+        out = np.zeros(len(a))
+        both = np.flatnonzero((a >= 0) & (b >= 0))
+        if not len(both):
+            return out
+        x, y = a[both].astype(np.int64), b[both].astype(np.int64)
+        expected = self.word_pages[x] * self.word_pages[y] / max(1, self.pages)
+        value = np.where(expected > self.least, np.clip(np.log((0.5 * self.least + 0.1) / (expected + 0.1)), LOWEST, HIGHEST), 0)
+        if len(self.pairs):
+            code = x * len(self.words) + y
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            value = np.where(self.pairs[at] == code, self.info[at], value)
+        out[both] = value
+        return out
+
+
+def support(pages: int) -> int:
+    return max(LEAST_PAGES, math.ceil(SUPPORT * pages))
+
+
+def line_flags(codes: np.ndarray, links: np.ndarray, knowledge: Knowledge) -> np.ndarray:
     """For each line that has words or links: whether it is keywords, links or tags."""
-    links = np.array(link_lines(text))
-    c, f = coder.pack(_TOKEN_OR_LINE.findall(text))
-    line, word = np.cumsum(c == END_OF_LINE), c != END_OF_LINE
-    c, f, line = c[word], f[word], line[word]
+    kind, f = codes & 3, codes >> 2
+    line, word = np.cumsum(kind == END), kind != END
+    kind, f, line = kind[word], f[word], line[word]
     kept = links | (np.bincount(line, minlength=len(links)) > 0)
     n, flags = int(kept.sum()), links[kept].copy()
     plain = ~links[line]
-    c, f, o = c[plain], f[plain], (np.cumsum(kept) - 1)[line[plain]]
-    if len(c) > 1:
-        a, b = c[:-1], c[1:]
-        v = info[a, b].astype(np.float64)
-        pair = f[:-1] * 0x40000000 + f[1:]
+    kind, f, o = kind[plain], f[plain], (np.cumsum(kept) - 1)[line[plain]]
+    if len(f) > 1:
+        known = knowledge.known(f)
+        there = known >= 0
+        name = there & knowledge.name[known] if len(knowledge.words) else there
+        # words that are names for the corpus tell nothing of their neighbours, and numbers neither
+        index = np.where(name | (kind == NUMBER), -1, known)
+        v = knowledge.information(index[:-1], index[1:])
+        if name.any():  # but a name is seldom written small in writing
+            small = np.where(name & (kind == WORD), knowledge.small[known], 0)
+            v = np.maximum(v + (small[:-1] + small[1:]) / 2, LOWEST)
+        pair = f[:-1] << 32 | f[1:]
         _, where, count = np.unique(pair, return_inverse=True, return_counts=True)
-        open_ = (a < N_CLASSES) & (b < N_CLASSES) & (a != NUMBER) & (b != NUMBER)
-        # pairs of known words that hardly any page has are incoherent anyway; unknown ones need their repetition
-        excessive = (count[where] >= REPEATED) & open_
-        # a word that makes up much of the page is a keyword; names may return in a refrain, common words anywhere
+        open_ = ~there & (kind != NUMBER)
+        excessive = (count[where] >= REPEATED) & open_[:-1] & open_[1:]
+        # a word that makes up much of the page is a keyword; names may return in a refrain, and common words in any line
         which = np.unique(f, return_inverse=True)[1]
         much = np.bincount(which)[which]
-        keyword = (much >= 8) & (((c == WORD) & (much > 0.05 * len(c))) | ((c == NAME) & (much > 0.16 * len(c))))
+        share = much / len(f)
+        rare = ~there | (knowledge.word_pages[known] < WRITING * knowledge.pages) if len(knowledge.words) else ~there
+        keyword = (much >= OFTEN) & (kind != NUMBER) & ((share > ANY_WORD) | rare & (share > np.where(kind == NAME, NAME_REFRAIN, KEYWORD)))
         excessive |= keyword[:-1] | keyword[1:]
-        v[excessive] = np.minimum(v[excessive], EXCESSIVE)
+        v = np.where(excessive, EXCESSIVE, v)
         near = o[1:] - o[:-1] <= 1  # no pair across a line of links
         at = o[1:][near]
         total, m = np.bincount(at, v[near], n), np.bincount(at, minlength=n).astype(float)
@@ -167,81 +216,102 @@ def line_flags(text: str, coder: Coder, info: np.ndarray) -> np.ndarray:
     return flags
 
 
-def corpus_tables(pages: DataFrame) -> tuple[int, dict[str, int], np.ndarray]:
-    """(pages, index of the vocabulary, information of pairs), over all pages."""
+def _repeated(pages: DataFrame) -> DataFrame:
+    """``doc_id``: pages whose letters another page with a smaller id has, too."""
+    letters = F.xxhash64(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", ""))
+    signed = pages.select("doc_id", letters.alias("sig"))
+    groups = signed.groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sig", "first")
+    return skew_join(signed, groups, "sig").where("doc_id > first").select("doc_id").distinct()
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, seen, n = Coder(), Counter(), 0
-        for b in batches:
-            for t in b["text"]:
-                n += 1
-                got = map(coder.code, set(_TOKEN.findall(t)))
-                seen.update({(w, c == NAME) for c, _, w in got if c != NUMBER})
-            if len(seen) > 300_000:
-                yield frame(seen)
-                seen = Counter()
-        seen["", False] = n
-        yield frame(seen)
-
-    def frame(seen: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"w": [w for w, _ in seen], "small": [0 if c else k for (_, c), k in seen.items()], "n": list(seen.values())})
-
-    counts = pages.select("text").mapInPandas(words, "w string, small long, n long").groupBy("w").agg(F.sum("small").alias("small"), F.sum("n").alias("n"))
-    top = counts.where("2 * small > n").orderBy(F.desc("n"), "w").limit(VOCABULARY + 1).collect()  # fixed size; '' carries the pages
-    n_pages = next((r["n"] for r in top if r["w"] == ""), 0)
-    index = {w: i + N_CLASSES for i, w in enumerate(sorted(r["w"] for r in top if r["w"] != ""))}
-    size = len(index) + N_CLASSES
-    shared = pages.sparkSession.sparkContext.broadcast(index)  # VOCABULARY words
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, seen = Coder(shared.value), Counter()
+
+def coded_pages(pages: DataFrame) -> DataFrame:
+    """``doc_id, once, codes, links``: the words and the lines with links of every page, in a table; each page is parsed here and nowhere else."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = Coder()
         for b in batches:
-            for t in _printed(b):
-                c, _ = coder.pack(_TOKEN.findall(t))
-                seen.update(np.unique(c[:-1] * size + c[1:]).tolist())
-                seen.update((-1 - np.unique(c)).tolist())
-            if len(seen) > 1_000_000:
-                yield pd.DataFrame({"p": list(seen), "n": list(seen.values())}).astype({"p": "int64", "n": "int64"})
-                seen = Counter()
-        yield pd.DataFrame({"p": list(seen), "n": list(seen.values())}).astype({"p": "int64", "n": "int64"})
-
-    # a pair of one page says nothing about others; at most size * (size + 1) rows of 12 bytes are left
-    counted = pages.mapInPandas(pairs, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1 or p < 0")
-    got = counted.select(F.col("p").cast("int"), F.col("n").cast("long")).toPandas()
-    single, both = np.zeros(size), np.zeros((size, size), dtype=np.float32)
-    p, n = got["p"].to_numpy(), got["n"].to_numpy()
-    single[-1 - p[p < 0]] = n[p < 0]
-    both.ravel()[p[p >= 0]] = n[p >= 0] - 1  # other pages than the one that is judged
-    total = max(1, n_pages)
-    info = np.empty((size, size), dtype=np.float16)
-    for i in range(size):  # row by row, to keep the driver's memory low
-        row = np.clip(np.log((both[i] + 0.1) / (single[i] * single / total + 0.1)), LOWEST, 2)
-        info[i] = np.where(both[i] >= max(LEAST_PAGES, RARE * total), np.maximum(row, 0), row)  # what many pages have is writing
-    # every page has names and numbers side by side; that tells nothing. Unknown words in a row are unlike writing
-    info[:N_CLASSES, :N_CLASSES] = 0
-    info[WORD, WORD] = UNKNOWN_PAIR
-    info[NUMBER, :] = info[:, NUMBER] = 0
-    return n_pages, index, info
+            texts = list(_printed(b))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "once": b["once"], "codes": [_packed(coder.codes(t)) for t in texts], "links": [np.packbits(link_lines(t)).tobytes() for t in texts], "lines": [t.count("\n") + 1 for t in texts]})
+
+    marked = pages.join(_repeated(pages).withColumn("again", F.lit(True)), "doc_id", "left").select("*", F.isnull("again").alias("once")).drop("again")
+    return cut(marked.mapInPandas(run, "doc_id long, once boolean, codes binary, links binary, lines int"))
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Hashes of four bytes, then kinds of one byte."""
+    return (codes >> 2).astype(np.uint32).tobytes() + (codes & 3).astype(np.uint8).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, np.uint32, n).astype(np.int64) << 2 | np.frombuffer(data, np.uint8, n, 4 * n)
+
+
+def corpus_knowledge(coded: DataFrame) -> Knowledge:
+    """What the corpus tells of words and pairs, over all different pages."""
+    some = coded.where("once").select("codes")
+
+    def counted(per_page, most: int = 2_000_000):
+        """Sums over the pages of a task; at times what has come together is passed on."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept, size = [], 0
+            for b in batches:
+                for c in b["codes"]:
+                    kept.append(per_page(_unpacked(c)))
+                    size += len(kept[-1])
+                if size > most:
+                    yield total(kept)
+                    kept, size = [], 0
+            yield total(kept)
+
+        return run
+
+    def total(kept: list) -> pd.DataFrame:
+        k, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pd.DataFrame({"k": k, "n": n.astype(np.int64)})
+
+    def words(c: np.ndarray) -> np.ndarray:
+        c = c[(c & 3) <= NAME]
+        every = (np.unique(c >> 2) << 2) + 2  # a page counts once for a word, and once for each of its writings
+        return np.concatenate((np.unique(c), every, [-1]))  # -1 carries the pages
+
+    seen = some.mapInPandas(counted(words), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    by_word = cut(seen.where("k >= 0").groupBy(F.shiftright("k", 2).alias("w")).agg(*[F.sum(F.expr(f"if((k & 3) = {x}, n, 0)")).alias(c) for x, c in ((2, "n"), (WORD, "small"), (NAME, "capital"))]).unionByName(seen.where("k < 0").select(F.lit(-1).cast("long").alias("w"), "n", F.lit(0).cast("long").alias("small"), F.lit(0).cast("long").alias("capital"))))
+    pages = by_word.where("w < 0").agg(F.max("n")).first()[0] or 0
+    least = support(pages)
+    top = by_word.where(f"w >= 0 and n >= {least}").orderBy("w").toPandas()  # at most the words of a page / SUPPORT
+    known = top["w"].to_numpy(dtype=np.int64)
+    shared = coded.sparkSession.sparkContext.broadcast(known)
+
+    def pairs(c: np.ndarray) -> np.ndarray:
+        words = shared.value
+        f = c[(c & 3) != END] >> 2
+        if not len(words) or len(f) < 2:
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(words, f), len(words) - 1)
+        ok = words[at] == f
+        both = ok[:-1] & ok[1:]
+        return np.unique(at[:-1][both] * len(words) + at[1:][both])
+
+    counts = some.mapInPandas(counted(pairs), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(f"n >= {least}").toPandas()  # at most the pairs of a page / SUPPORT
+    return Knowledge(pages, top, counts["k"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.int64))
 
 
 def spam_pages(docs: DataFrame, *, record: str = "doc_id", text: str = "text", boxes: str | None = "line_boxes") -> DataFrame:
     """``doc_id, n_lines, spam_lines, spam`` for every page that has lines with words.
 
-    Null and empty pages are no cases and don't appear. Pages are read whole. Ties in the vocabulary go by the
-    word. Pages repeated under one id give one row. An empty table gives an empty result; further columns
+    Null and empty pages are no cases and don't appear. Pages are read whole. Pages repeated under one id give one row. An empty table gives an empty result; further columns
     are ignored.
     """
-    pages = _pages(docs, record, text, boxes)
-    _, index, info = corpus_tables(pages)
-    shared = docs.sparkSession.sparkContext.broadcast((index, info))  # (VOCABULARY + 4) squared cells of 2 bytes
+    coded = coded_pages(_pages(docs, record, text, boxes))
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_knowledge(coded))  # bounded by SUPPORT
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, info = shared.value
-        coder = Coder(index)
+        knowledge = shared.value
         for b in batches:
-            flags = [line_flags(t, coder, info) for t in _printed(b)]
+            flags = [line_flags(_unpacked(c), np.unpackbits(np.frombuffer(l, np.uint8))[:n].astype(bool), knowledge) for c, l, n in zip(b["codes"], b["links"], b["lines"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_lines": [len(f) for f in flags], "spam_lines": [int(f.sum()) for f in flags]})
 
-    judged = pages.mapInPandas(judge, "doc_id long, n_lines int, spam_lines int").where("n_lines > 0")
+    judged = coded.select("doc_id", "codes", "links", "lines").mapInPandas(judge, "doc_id long, n_lines int, spam_lines int").where("n_lines > 0")
     judged = judged.groupBy("doc_id").agg(F.max(F.struct("spam_lines", "n_lines")).alias("m")).select("doc_id", "m.n_lines", "m.spam_lines")
     return judged.withColumn("spam", F.col("spam_lines") * 2 > F.col("n_lines"))

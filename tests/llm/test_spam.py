@@ -2,9 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 
-from kithmark.llm.spam import Coder, N_CLASSES, corpus_tables, link_lines, spam_pages, _pages
+from kithmark.llm.spam import _TOKEN_OR_LINE, HIGHEST, LOWEST, Coder, Knowledge, coded_pages, corpus_knowledge, fold, line_flags, link_lines, printed_text, spam_pages, support, _pages
 
 R = random.Random(5)
 DOCS = "doc_id long, text string, line_boxes array<struct<x0:int,y0:int,x1:int>>, spam string"
@@ -43,27 +45,46 @@ def test_empty(spark):
     assert spam_pages(corpus(spark).where("false")).count() == 0
 
 
-def test_tables_equal_brute_force(spark):
+def test_counts_equal_brute_force(spark):
     pages = _pages(corpus(spark), "doc_id", "text", "line_boxes")
-    n, index, info = corpus_tables(pages)
-    texts = [r["text"] for r in pages.collect()]
-    assert n == len(texts) and info.shape == (len(index) + N_CLASSES,) * 2
+    k = corpus_knowledge(coded_pages(pages))
+    texts = {"".join(c for c in r["text"].lower() if c.isalnum()): r["text"] for r in pages.collect()}.values()  # a text counts once
+    assert k.pages == len(texts)
     single, both = Counter(), Counter()
-    from kithmark.llm.spam import _TOKEN, printed_text
-
-    coder = Coder(index)
     for t in texts:
-        c = [coder.code(w)[0] for w in _TOKEN.findall(printed_text(t))]
-        single.update(set(c))
-        both.update(set(zip(c, c[1:])))
-    for a, b in (("the", "mill"), ("of", "the"), ("soap", "gold"), ("gold", "the")):
-        from kithmark.llm.spam import fold
-
-        i, j = index[fold(a)], index[fold(b)]
-        k = max(both[i, j] - 1, 0)
-        want = np.clip(np.log((k + 0.1) / (single[i] * single[j] / n + 0.1)), -3, 2)
-        want = max(want, 0) if k >= max(3, 0.003 * n) else want
-        assert info[i, j] == pytest.approx(want, abs=0.01)
+        w = [fold(x) for x in _TOKEN_OR_LINE.findall(printed_text(t)) if x != "\n"]
+        single.update(set(w))
+        both.update(set(zip(w, w[1:])))
+    index = lambda w: k.known(np.array([xxhash.xxh32_intdigest(w)]))
+    for a, b in (("the", "mill"), ("of", "the"), ("soap", "gold"), ("gold", "the"), ("was", "opened")):
+        a, b = fold(a), fold(b)
+        n, want = both[a, b], single[a] * single[b] / len(texts)
+        want = np.log((max(n - 1, 0.5 * support(len(texts)) if n < support(len(texts)) else n - 1) + 0.1) / (want + 0.1)) if n >= support(len(texts)) or want > support(len(texts)) else 0
+        want = np.clip(want, LOWEST, HIGHEST)
+        assert k.information(index(a), index(b))[0] == pytest.approx(max(want, 0) if n >= max(3, 0.003 * len(texts)) else want, abs=0.01), (a, b)
+
+
+def judged(text, knowledge):
+    return line_flags(Coder().codes(text), np.array(link_lines(text)), knowledge)
+
+
+SPANISH = "La noche estaba tranquila y el viento soplaba desde las montañas\ncuando los viajeros llegaron a la pequeña aldea cerca del río\ndonde una anciana les ofreció pan y queso junto al fuego\ny les contó la historia de su familia hasta el amanecer"
+
+
+def test_an_unknown_language_is_not_spam(spark):
+    nothing = Knowledge(0, pd.DataFrame({"w": [], "n": [], "small": [], "capital": []}), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert not judged(SPANISH, nothing).any()
+    assert not judged(SPANISH, corpus_knowledge(coded_pages(_pages(corpus(spark), "doc_id", "text", "line_boxes")))).any()
+    assert judged("gorbal tindra\n" * 20, nothing).all()  # but what a page repeats again and again is
+
+
+def test_frequency_acquits_no_spam(spark):
+    """A third of all pages are copies of one keyword page, and another third repeat a keyword beside changing words."""
+    r = random.Random(3)
+    rows = [(i, prose(8)) for i in range(60)] + [(1000 + i, "\n".join(["soap sofas gold soap pianos soap soap"] * 20)) for i in range(60)]
+    rows += [(2000 + i, "\n".join(f"{r.choice(NOUNS)} loans {r.choice(NOUNS)} loans" for _ in range(20))) for i in range(60)]
+    out = spam_pages(spark.createDataFrame([(i, t, None, "clash") for i, t in rows], DOCS)).collect()
+    assert {x["doc_id"] for x in out if x["spam"]} == {i for i, _ in rows if i >= 1000}
 
 
 @pytest.mark.parametrize("line, want", [

@@ -13,20 +13,25 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from kithmark.llm.pages import page_lines
+from kithmark.runtime import cut
 
 #: Pattern length, distance between the starts of patterns, and block length of the search, in letters.
 PATTERN, STRIDE, BLOCK = 16, 6, 6
 #: How far two patterns of a stretch may be off their distance, in letters.
 DRIFT = 8
-#: The longest insertion (advert, heading) that may stand within a passage, in letters.
-INSERTION = 280
+#: Behind an insertion (advert, heading) of any length the passage goes on if so many letters agree: within NEAR letters, and beyond.
+NEAR, GOES_ON, GOES_ON_FAR = 280, 10, 16
 #: Passages searched in one pass over the corpus; more are taken in blocks.
 PASSAGES_PER_PASS = 20_000
+#: Slots of the shift table, one byte each; blocks that share a slot only shorten the shift.
+SLOTS = 1 << 22
 
 # Groups of characters that machines confuse; the first stands for all.
 _CONFUSED = ("hb", "ec", "ao0", "tf", "nup", "rvy", "il1j!|", "s5", "gq9")
@@ -90,37 +95,67 @@ class Passage:
         self.sizes = [who.count(i) for i in range(len(self.words))]
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def _hashes(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the letters from each of the places on."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        h = (h + codes[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class WuManber:
-    """Many patterns of one length: shift table by block, buckets by the last block, direct comparison."""
-
-    def __init__(self, passages: list[Passage]):
-        self.shift: dict[str, int] = {}
-        self.buckets: dict[str, dict[str, list[tuple[int, int]]]] = {}
-        for n, p in enumerate(passages):
-            s = p.letters
-            for at in range(0, len(s) - PATTERN + 1, STRIDE):
-                pat = s[at : at + PATTERN]
-                for end in range(BLOCK, PATTERN + 1):
-                    b = pat[end - BLOCK : end]
-                    d = PATTERN - end
-                    if d < self.shift.get(b, PATTERN):
-                        self.shift[b] = d
-                self.buckets.setdefault(pat[-BLOCK:], {}).setdefault(pat, []).append((n, at))
-        self.skip = PATTERN - BLOCK + 1
+    """Many patterns of one length: shift table by hash of blocks, buckets by hash, direct comparison.
+
+    It consists of a few arrays and the letters of the passages, is built once, and is shared by all workers as it stands.
+    """
+
+    def __init__(self, letters: list[str]):
+        self.letters = letters
+        self.shift = np.full(SLOTS, PATTERN - BLOCK + 1, np.uint8)
+        hashes, who, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for n, s in enumerate(letters):
+            at = np.arange(0, len(s) - PATTERN + 1, STRIDE)
+            if not len(at):
+                continue
+            codes = _codes(s)
+            slots = (_hashes(codes, np.arange(len(s) - BLOCK + 1), BLOCK) % np.uint64(SLOTS)).astype(np.int64)
+            for end in range(BLOCK, PATTERN + 1):  # of every block its least distance to the end of a pattern
+                k = slots[at + end - BLOCK]
+                self.shift[k] = np.minimum(self.shift[k], PATTERN - end)
+            hashes.append(_hashes(codes, at, PATTERN))
+            who.append(np.full(len(at), n, np.int32))
+            where.append(at.astype(np.int32))
+        order = np.argsort(h := np.concatenate(hashes), kind="stable")
+        self.hashes, self.who, self.where = h[order], np.concatenate(who)[order], np.concatenate(where)[order]
 
     def find(self, text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """(where a pattern starts in the text, the passages and places it comes from)."""
-        end, n, shift, skip, buckets = PATTERN, len(text), self.shift, self.skip, self.buckets
+        n = len(text)
+        if n < PATTERN:
+            return
+        codes = _codes(text)
+        shift = self.shift[(_hashes(codes, np.arange(n - BLOCK + 1), BLOCK) % np.uint64(SLOTS)).astype(np.int64)].tobytes()
+        ends, end = [], PATTERN
         while end <= n:
-            block = text[end - BLOCK : end]
-            d = shift.get(block, skip)
+            d = shift[end - BLOCK]
             if d:
                 end += d
                 continue
-            hit = buckets[block].get(text[end - PATTERN : end])
-            if hit:
-                yield end - PATTERN, hit
+            ends.append(end)
             end += 1
+        starts = np.array(ends, np.int64) - PATTERN
+        h = _hashes(codes, starts, PATTERN)
+        for i, lo, hi in zip(starts.tolist(), np.searchsorted(self.hashes, h, "left").tolist(), np.searchsorted(self.hashes, h, "right").tolist()):
+            if lo < hi:
+                pat = text[i : i + PATTERN]
+                hit = [(p, j) for p, j in zip(self.who[lo:hi].tolist(), self.where[lo:hi].tolist()) if self.letters[p].startswith(pat, j)]
+                if hit:
+                    yield i, hit
 
 
 #: Ways to go on after a misreading: letters to skip on the page and in the passage, cheapest first.
@@ -154,10 +189,12 @@ def _follow(page: str, i: int, text: str, j: int) -> tuple[int, int]:
             if end_j - begun < 18:
                 return end_i, end_j
             for o in range(0, 9):
-                part = text[end_j + o : end_j + o + 10]
-                if len(part) < 10:
+                part = text[end_j + o : end_j + o + GOES_ON_FAR]
+                if len(part) < GOES_ON:
                     return end_i, end_j
-                at = page.find(part, end_i, end_i + INSERTION)
+                at = page.find(part[:GOES_ON], end_i, end_i + NEAR)
+                if at < 0 and len(part) == GOES_ON_FAR:
+                    at = page.find(part, end_i + NEAR - GOES_ON)
                 if at >= 0:
                     i, j, good, worst, begun = at, end_j + o, 0, [], end_j
                     break
@@ -184,8 +221,8 @@ def held_words(page: str, i: int, passage: Passage, j: int, reverse: tuple[str,
     return n - (head < 0.6 * sizes[first]) - (tail < 0.6 * sizes[last]), lo, hi
 
 
-def search_page(page: str, engine: WuManber, passages: list[Passage], least_words: int) -> list[tuple[int, int]]:
-    """(passage, words held) for the passages of which the page holds at least ``least_words``.
+def search_page(page: str, engine: WuManber, passages, least_words: int) -> list[tuple[int, int]]:
+    """(passage, words held) for the passages (a function of their number) of which the page holds at least ``least_words``.
 
     The exact check is made where two patterns that don't overlap stand in the passage's distance, give or take DRIFT.
     """
@@ -208,7 +245,7 @@ def search_page(page: str, engine: WuManber, passages: list[Passage], least_word
             seen.append((i, j))
             if not near or any(lo <= j < hi and a <= i <= b for lo, hi, a, b in done.get(n, ())):
                 continue
-            p = passages[n]
+            p = passages(n)
             turned = turned or page[::-1]
             words, lo, hi = held_words(page, i, p, j, (turned, p.turned))
             done.setdefault(n, []).append((lo, hi, i - (j - lo) - 20, i + (hi - j) + 20))
@@ -226,28 +263,36 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, least_words: int = 24,
     """
     spark = docs.sparkSession
     passages = items.where("passage is not null").select("passage").distinct()
-    n = passages.count()
-    passes = max(1, -(-n // PASSAGES_PER_PASS))
+    passes = max(1, -(-passages.count() // PASSAGES_PER_PASS))
     pages = docs.select("doc_id", "text", *[(F.col(f"{boxes}.{f}") if boxes else F.lit(None).cast("array<int>")).alias(f) for f in ("x0", "y0", "x1")])
     pages = pages.where("text is not null and text <> ''")
+
+    def letters(b: pd.DataFrame) -> list[str]:
+        return [stream("\n".join(page_lines(*r))) for r in zip(b["text"], b["x0"], b["y0"], b["x1"])]
+
+    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "page": letters(b)})
+
+    if passes > 1:  # pages are put in order once
+        pages = cut(pages.mapInPandas(streams, "doc_id long, page string"))
     found = None
     for k in range(passes):
-        # at most about PASSAGES_PER_PASS texts
+        # about PASSAGES_PER_PASS texts; those of one pass are given up before the next
         texts = [r["passage"] for r in passages.where(F.pmod(F.xxhash64("passage"), F.lit(passes)) == k).collect()]
-        shared = spark.sparkContext.broadcast(texts)
+        shared = spark.sparkContext.broadcast((texts, WuManber([Passage(t).letters for t in texts])))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            texts = shared.value
-            parsed = [Passage(t) for t in texts]
-            engine = WuManber(parsed)
+            texts, engine = shared.value
+            parsed = lru_cache(maxsize=2000)(lambda n: Passage(texts[n]))
             for b in batches:
-                rows = []
-                for d, t, x0, y0, x1 in zip(b["doc_id"], b["text"], b["x0"], b["y0"], b["x1"]):
-                    page = stream("\n".join(page_lines(t, x0, y0, x1)))
-                    rows += [(d, texts[p], w) for p, w in search_page(page, engine, parsed, least_words)]
+                rows = [(d, texts[p], w) for d, page in zip(b["doc_id"], b["page"] if "page" in b else letters(b)) for p, w in search_page(page, engine, parsed, least_words)]
                 yield pd.DataFrame(rows, columns=["doc_id", "passage", "n_words"]).astype({"doc_id": "int64", "n_words": "int64"})
 
         part = pages.mapInPandas(run, "doc_id long, passage string, n_words long")
+        if passes > 1:
+            part = cut(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     named = items.where("passage is not null").select("item_id", "passage").distinct()
     return found.join(named, "passage").groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

@@ -1,5 +1,6 @@
 import random
 
+from kithmark.llm import leakage
 from kithmark.llm.leakage import PATTERN, Passage, WuManber, leaked_passages, stream
 from kithmark.llm.pages import page_lines
 
@@ -16,7 +17,7 @@ def wrap(ws, width=5):
 
 def test_search_finds_what_a_scan_finds():
     passages = [Passage(" ".join(words(40))) for _ in range(6)]
-    engine = WuManber(passages)
+    engine = WuManber([p.letters for p in passages])
     page = stream(" ".join(words(50)) + passages[2].letters[30:110] + " ".join(words(20)) + passages[4].letters[5:90])
     patterns = {}
     for n, p in enumerate(passages):
@@ -59,3 +60,20 @@ def test_page_lines_of_fused_columns():
     text = "a one   b one\na two   b two\na three   b three"
     assert page_lines(text, [0, 0, 0], [0, 10, 20], [260, 260, 320]) == ["a one", "a two", "a three", "b one", "b two", "b three"]
     assert page_lines(None) == [] and page_lines("x\ny") == ["x", "y"]
+
+
+def test_insertions_of_any_length(spark):
+    passage = words(60)
+    docs = [(n, wrap(words(20) + passage[5:25] + words(n) + passage[25:45] + words(20)), None, 1) for n in (5, 30, 60, 250)]
+    docs.append((1, wrap(words(20) + passage[5:25] + words(60) + passage[30:33] + words(20)), None, 1))  # a short common phrase is none
+    got = leaked_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, " ".join(passage), "")], ITEMS)).collect()
+    assert {r["doc_id"] for r in got} == {5, 30, 60, 250}
+
+
+def test_several_passes_find_what_one_finds(spark, monkeypatch):
+    passages = [words(40) for _ in range(9)]
+    docs = spark.createDataFrame([(n, wrap(words(20) + p[:30] + words(20)), None, 1) for n, p in enumerate(passages[:6])], DOCS)
+    items = spark.createDataFrame([(n, " ".join(p), "") for n, p in enumerate(passages)], ITEMS)
+    one = sorted(leaked_passages(docs, items).collect())
+    monkeypatch.setattr(leakage, "PASSAGES_PER_PASS", 2)
+    assert len(one) == 6 and sorted(leaked_passages(docs, items).collect()) == one

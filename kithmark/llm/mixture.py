@@ -3,8 +3,8 @@
 The mixture is a row of slots of equal size. Slot i belongs to the source into whose piece of the
 cumulative target shares the golden-ratio point frac((i + 1/2) * phi) falls, so that every stretch of the
 schedule has nearly the target shares. The pages of a source are shuffled by a hash, once for each
-repetition, and laid end to end; the page that starts in the k-th block of a source is joined with
-the k-th slot of that source. Ranks and running totals are built in two levels (bucket totals, then
+repetition, laid end to end and cut into blocks of equally many tokens; the k-th block of a source is
+joined with the k-th slot of that source. Ranks and running totals are built in two levels (bucket totals, then
 within the bucket), so that no source, however large, is sorted in one task.
 """
 
@@ -23,6 +23,8 @@ from kithmark.runtime import cut
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: The table of targets is a parameter and goes to the driver; more sources than this are refused.
 MAX_SOURCES = 10_000
+#: Parts of the unit interval in which a point is looked for.
+CELLS = 4096
 _ENCODERS: dict[str, object] = {}
 
 
@@ -58,9 +60,10 @@ def with_token_counts(df: DataFrame, keep: list[str], text: str, vocabulary: str
 
 @dataclass
 class Mixture:
-    """``schedule``: one row per chosen page and repetition; ``shares``: one row per source."""
+    """``schedule``: one row per chosen page and repetition; ``blocks``: one row per slot and page in its block; ``shares``: one row per source."""
 
     schedule: DataFrame
+    blocks: DataFrame
     shares: DataFrame
 
 
@@ -84,8 +87,9 @@ def mix(
     reach its share within its repetitions. "corpus": the tokens of all pages; sources too small for
     that give all they may and the shares that are really reached are reported.
 
-    ``schedule``: slot, source, record, repetition (from 1), n_tokens. ``shares``: source, target_share,
-    max_repeats, available_tokens, chosen_tokens, actual_share, most_repeats, target_met (within two blocks and pages of
+    ``blocks``: slot, source, record, repetition (from 1), first_token, n_tokens (of the page in that slot). ``schedule``: slot (the
+    first that the page is in), source, record, repetition, n_tokens. ``shares``: source, target_share,
+    max_repeats, available_tokens, chosen_tokens, actual_share, most_repeats, target_met (within two blocks of
     the target). Pages without a source, of a source that isn't in ``targets``, and pages without tokens aren't
     chosen; a source without pages is reported with nothing. Ties in the shuffle go by record. Of repeated records one
     is taken. Empty tables give an empty schedule. Further columns are ignored.
@@ -95,11 +99,12 @@ def mix(
     if len(wanted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     pages = docs.select(F.col(record).alias("rid"), F.col(source).alias("source"), F.col(text).alias("text"))
-    pages = pages.where(F.col("rid").isNotNull() & F.col("source").isin(list(wanted)))
+    names = spark.createDataFrame([(x,) for x in wanted], "source string")  # at most MAX_SOURCES rows
+    pages = pages.where("rid is not null").join(F.broadcast(names), "source", "left_semi")
     sized = cut(with_token_counts(pages, ["rid", "source"], "text", vocabulary or tokenizer_path()).where("n_tokens > 0").dropDuplicates(["rid"]))
-    have = {r["source"]: (r["t"], r["n"], r["m"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("m")).collect()}
+    have = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     able = {s: have[s][0] * reps for s, (share, reps) in wanted.items() if s in have and share > 0 and reps > 0}
-    corpus = sum(t for t, _, _ in have.values())
+    corpus = sum(t for t, _ in have.values())
     if total_tokens is None:
         total = min((able[s] / wanted[s][0] for s in able), default=0)
     else:
@@ -108,38 +113,43 @@ def mix(
     n_slots = max(1, round(total / block_tokens)) if able else 0
 
     # slots: the golden-ratio point of a slot picks its source, its rank among the slots of the source is k
-    bounds, upto = [], 0.0
+    cells, upto = [], 0.0
     for s, (share, _) in sorted(wanted.items()):
         if share > 0:
-            upto += share / weight
-            bounds.append((s, upto))
-    point = F.expr(f"pmod((id + 0.5D) * {GOLDEN!r}D, 1.0D)")
-    piece = F.lit(bounds[-1][0] if bounds else None).cast("string")
-    for s, b in reversed(bounds[:-1]):
-        piece = F.when(point < b, F.lit(s)).otherwise(piece)
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), piece.alias("source"), F.expr("id div 65536").alias("bucket"), F.lit(1).alias("one"))
+            low, upto = upto, upto + share / weight
+            cells += [(c, low, upto, s) for c in range(int(low * CELLS), min(CELLS - 1, int(upto * CELLS)) + 1)]
+    if cells:  # rounding mustn't leave a gap at the end
+        cells[-1] = (*cells[-1][:2], 2.0, cells[-1][3])
+    pieces = F.broadcast(spark.createDataFrame(cells, "cell int, low double, high double, source string"))  # at most MAX_SOURCES + CELLS rows
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.expr(f"pmod((id + 0.5D) * {GOLDEN!r}D, 1.0D)").alias("point")).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
+    slots = slots.join(pieces, "cell").where("low <= point and point < high").select("slot", "source", F.expr("slot div 65536").alias("bucket"), F.lit(1).alias("one"))
     slots = _running_start(slots, ["source"], "bucket", ["slot"], "one").select("slot", "source", F.col("start").alias("k"))
     given = {r["source"]: r["count"] for r in slots.groupBy("source").count().collect()}
 
     # pages: as many shuffled repetitions as the slots of the source ask for and its limit allows
     rows = [(s, min(wanted[s][1], math.ceil(given[s] * block_tokens / have[s][0])), given[s], have[s][0]) for s in able if given.get(s)]
     plan = F.broadcast(spark.createDataFrame(rows, "source string, reps int, slots long, tokens long"))  # at most MAX_SOURCES rows
-    n_docs = sum(n for _, n, _ in have.values())
+    n_docs = sum(n for _, n in have.values())
     bits = min(24, max(6, math.ceil(math.log2(max(1, n_docs / 50_000)))))
     laid = sized.join(plan, "source").withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("reps"))))
     laid = laid.withColumn("h", F.xxhash64("rid", "repetition", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits)).withColumn("o", F.col("h").bitwiseXOR(F.lit(-(2**63))))
     laid = _running_start(laid, ["source", "repetition"], "bucket", ["o", "rid"], "n_tokens")
     start = F.col("start") + (F.col("repetition") - 1) * F.col("tokens")
-    laid = laid.withColumn("k", F.floor(start / block_tokens)).where(F.col("k") < F.col("slots"))
-    chosen = cut(laid.join(slots, ["source", "k"]).select("slot", "source", F.col("rid").alias(record), "repetition", "n_tokens"))
+    laid = laid.withColumn("start", start)
+    last = F.least(F.floor((F.col("start") + F.col("n_tokens") - 1) / block_tokens), F.col("slots") - 1)
+    laid = laid.withColumns({"first": F.floor(F.col("start") / block_tokens), "last": last}).where("first <= last").withColumn("k", F.explode(F.sequence("first", "last")))
+    begin = F.greatest("start", F.col("k") * block_tokens)
+    cut_up = laid.select("source", "k", F.col("rid").alias(record), "repetition", (begin - F.col("start")).alias("first_token"), (F.least(F.col("start") + F.col("n_tokens"), (F.col("k") + 1) * block_tokens) - begin).alias("n_tokens"))
+    chosen = cut(cut_up.join(slots, ["source", "k"]).select("slot", "source", record, "repetition", "first_token", "n_tokens"))
 
     got = {r["source"]: (r["t"], r["m"]) for r in chosen.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.max("repetition").alias("m")).collect()}
     all_chosen = sum(t for t, _ in got.values())
     report = []
     for s, (share, reps) in sorted(wanted.items()):
         t, most = got.get(s, (0, 0))
-        tokens, _, longest = have.get(s, (0, 0, 0))
-        met = abs(t - share / weight * total) <= 2 * (block_tokens + longest) if total else share == 0
+        tokens = have.get(s, (0, 0))[0]
+        met = abs(t - share / weight * total) <= 2 * block_tokens if total else share == 0
         report.append((s, share, reps, tokens, t, round(t / all_chosen, 6) if all_chosen else 0.0, most, bool(met)))
     shares = spark.createDataFrame(report, "source string, target_share double, max_repeats int, available_tokens long, chosen_tokens long, actual_share double, most_repeats int, target_met boolean")
-    return Mixture(chosen, shares)
+    schedule = chosen.groupBy("source", record, "repetition").agg(F.min("slot").alias("slot"), F.sum("n_tokens").alias("n_tokens"))
+    return Mixture(schedule.select("slot", "source", record, "repetition", "n_tokens"), chosen, shares)

@@ -84,6 +84,11 @@ def p8_mix(spark, sf_dir):
     return _mix(spark, sf_dir).schedule
 
 
+def p8_blocks(spark, sf_dir):
+    """The same mixture as blocks of equally many tokens: which part of which page stands in which slot."""
+    return _mix(spark, sf_dir).blocks
+
+
 def p8_shares(spark, sf_dir):
     return _mix(spark, sf_dir).shares
 
@@ -108,7 +113,7 @@ def p9_line_report(spark, sf_dir):
 
 QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found,
     "p7_found": p7_found, "p7_item_report": p7_item_report,
-    "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_mix_corpus": p8_mix_corpus, "p8_shares_corpus": p8_shares_corpus,
+    "p8_mix": p8_mix, "p8_blocks": p8_blocks, "p8_shares": p8_shares, "p8_mix_corpus": p8_mix_corpus, "p8_shares_corpus": p8_shares_corpus,
     "p9_found": p9_found, "p9_line_report": p9_line_report,
 }
 ORACLE: dict[str, str] = {

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from kithmark.llm.mixture import mix, tokenizer_path, with_token_counts
@@ -37,6 +39,27 @@ def test_shares_are_reached(spark):
     assert abs(sum(r["n_tokens"] for r in first if r["source"] == "big") / sum(r["n_tokens"] for r in first) - 0.5) < 0.08
 
 
+def test_blocks_hold_equally_many_tokens(spark):
+    m = mix(corpus(spark), targets(spark, T), block_tokens=128)
+    blocks, sizes = m.blocks.collect(), {(r["doc_id"]): r["n_tokens"] for r in with_token_counts(corpus(spark), ["doc_id"], "text", tokenizer_path()).collect()}
+    slots, pages = Counter(), {}
+    for r in blocks:
+        slots[r["slot"]] += r["n_tokens"]
+        pages.setdefault((r["doc_id"], r["repetition"]), []).append((r["first_token"], r["n_tokens"]))
+    assert sum(n == 128 for n in slots.values()) >= len(slots) - 6 and max(slots.values()) == 128
+    for (d, _), parts in pages.items():  # pieces of a page join without gap or overlap
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= sizes[d]
+
+
+def test_many_sources(spark):
+    n = 5000
+    docs = frame(spark, [(i, f"s{i % n}", "word " * 20) for i in range(3 * n)])
+    m = mix(docs, targets(spark, [(f"s{i}", 1.0 / n, 1) for i in range(n)]), total_tokens="corpus", block_tokens=20)
+    rows = m.schedule.collect()
+    assert len({r["source"] for r in rows}) == n and len(rows) == len({r["doc_id"] for r in rows})
+
+
 def test_unreachable_target_is_reported(spark):
     m = mix(corpus(spark), targets(spark, T), total_tokens="corpus", block_tokens=128)
     shares = {r["source"]: r for r in m.shares.collect()}

@@ -2,8 +2,9 @@
 
 Follows the public rules for confusable detection (Unicode TS 39): the script sets of the letters of
 a token are intersected; an empty intersection is a mixed-script token, a token of one foreign script
-made of look-alikes only is a whole-script confusable. Where the Latin spelling is consistent for the
-whole token, it is taken. Everything else is brought to composed compatibility form.
+made of look-alikes only is a whole-script confusable if there is Latin writing beside it. A mixed token takes the spelling
+in the script in which all of it can be written, Latin first; a whole-script confusable takes the Latin one. Words of
+another script that stand alone are left as they are. Everything else is brought to composed compatibility form.
 """
 
 from __future__ import annotations
@@ -23,11 +24,31 @@ LOOK_ALIKES = dict(
         "ABESIJKMHOPCTXYVGQWaesijopcyxhldqwvrk" + "ABEZHIKMNOPTYXCcoaivpuky" + "agiilgrys" + "OSULounhgq" + "ABCDEWGHJKLMPRSTVZ",
     )
 )
+# Letters of Lisu that look like Latin capitals.
+LOOK_ALIKES |= dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+
+
+def read_confusables(path: str) -> dict[str, str]:
+    """Single letters and the single Latin letters they look like, from a file in the format of the public confusables table.
+
+    Lines are ``source ; target ; kind`` in code points; the result can stand in for, or be added to, LOOK_ALIKES.
+    """
+    out = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = [x.strip().split() for x in line.split("#")[0].split(";")]
+            if len(parts) >= 2 and len(parts[0]) == len(parts[1]) == 1:
+                a, b = (chr(int(x[0], 16)) for x in parts[:2])
+                if b.isalpha() and b.isascii() and not a.isascii():
+                    out[a] = b
+    return out
+
+
 PHONETIC_LATIN = set("ɑɡɩʟɢʀʏſ")
 #: Compatibility tags whose members stand for a usual character (super- and subscripts don't).
 STANDS_FOR = {"<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<small>", "<square>"}
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
-_SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee")
+_SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee", "Lisu")
 _SCRIPT_RE = [(s, regex.compile(rf"\p{{Scx={s}}}")) for s in _SCRIPTS]
 ANY = frozenset(("any",))
 
@@ -41,6 +62,25 @@ def script_set(ch: str) -> frozenset[str]:
     return found or frozenset((unicodedata.name(ch, "?").split(" ")[0],))
 
 
+@lru_cache(maxsize=16)
+def _spellings(script: str) -> dict[str, str]:
+    """Letters of any script and the letter of this script that looks the same."""
+    to = dict(LOOK_ALIKES) if script == "Latin" else {}
+    if script != "Latin":
+        for a, b in reversed(LOOK_ALIKES.items()):
+            if script_set(a) == {script}:
+                to[b] = a
+        to |= {a: to[b] for a, b in LOOK_ALIKES.items() if b in to and script_set(a) != {script}}
+    return to
+
+
+def _spelt_in(token: str, script: str) -> str | None:
+    """The token with look-alikes replaced by letters of one script; None if it can't be written in that script."""
+    to = _spellings(script)
+    out = "".join(c if script in (s := script_set(c)) or s is ANY else to.get(c, c) for c in token) if script != "Latin" else "".join(to.get(c, c) for c in token)
+    return out if all(script in s or s is ANY for s in map(script_set, out)) else None
+
+
 @lru_cache(maxsize=65536)
 def _kind(ch: str) -> str:
     """'' for an ordinary character, else why it isn't: unseen, space, hyphen, form or mark."""
@@ -62,7 +102,7 @@ def _kind(ch: str) -> str:
 
 
 def resolve_tokens(text: str) -> tuple[str, bool]:
-    """Replaces confusable tokens by their Latin spelling; second: whether there was one."""
+    """Replaces confusable tokens by their consistent spelling; second: whether there was one."""
     tokens = list(_TOKEN.finditer(text))
     sets = []
     for m in tokens:
@@ -77,11 +117,11 @@ def resolve_tokens(text: str) -> tuple[str, bool]:
         phonetic = any(c in PHONETIC_LATIN for c in tok)
         new = tok
         if phonetic or (union is not ANY and union != {"Latin"}):
-            spelled = "".join(LOOK_ALIKES.get(c, c) for c in tok)
-            consistent = all("Latin" in s or s is ANY for s in map(script_set, spelled))
-            mixed = not inter and "Latin" in union or not inter and len(union) > 1
-            whole = bool(inter) and "Latin" not in inter and (latin_near or sum(c.isalpha() for c in tok) >= 5)
-            if consistent and (phonetic or mixed or whole):
+            mixed = not inter and len(union) > 1
+            whole = bool(inter) and "Latin" not in inter and latin_near
+            scripts = ["Latin", *sorted(union - {"Latin"})] if mixed else ["Latin"]
+            spelled = next((x for x in (_spelt_in(tok, s) for s in scripts) if x is not None), None)
+            if spelled is not None and spelled != tok and (phonetic or mixed or whole):
                 new, hit = spelled, True
         out += [text[at : m.start()], new]
         at = m.end()

@@ -3,13 +3,13 @@ import unicodedata
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from kithmark.llm.forms import LOOK_ALIKES, consistent_form, examine, text_forms
+from kithmark.llm.forms import LOOK_ALIKES, consistent_form, examine, read_confusables, text_forms
 
 CASES = {
     "Ａｎｎｖｉｒａ　Ｔｅａ": "Annvira Tea", "Tea House": "Tea House", "Te​a": "Tea", "Café": "Café", "ﬁne": "fine",
     "Mоbile": "Mobile", "Ѕіӏо Lane": "Silo Lane", "Lɑne": "Lane", "A‑B": "A-B", "serviϲes": "services", "Ϲafé": "Cafe"[:3] + "é", "﻿X": "X", "so­ft": "soft",
 }
-PLAIN = ["Café Brénor", "होक्ल द्रत्रो मेडिकल", "two  spaces", "n° 98", "Сестра Мария", "", "plain", "ÀÉÎ", "Αθήνα", "tab\tbed"]
+PLAIN = ["Café Brénor", "होक्ल द्रत्रो मेडिकल", "two  spaces", "n° 98", "Сестра Мария", "", "plain", "ÀÉÎ", "Αθήνα", "tab\tbed", "ресурс", "осоку", "НОРА", "ТОО Восток"]
 
 
 @pytest.mark.parametrize("raw", CASES)
@@ -22,6 +22,17 @@ def test_plain(raw):
     assert examine(raw) == (False, raw)
 
 
+@pytest.mark.parametrize("raw, want", [("москвa", "москва"), ("Αθήνa", "Αθήνα"), ("Tесо Ltd", "Teco Ltd"), ("Ltd ТЕСО", "Ltd TECO"), ("ꓢuraya", "Suraya")])
+def test_script_that_fits(raw, want):
+    assert examine(raw) == (True, want)
+
+
+def test_confusables_file(tmp_path):
+    path = tmp_path / "table.txt"
+    path.write_text("\ufeff# comment\n0430 ;\t0061 ;\tMA\t# a\n1D41A ; 0061 ; MA\n0133 ; 0069 006A ; MA\n", encoding="utf-8")
+    assert read_confusables(str(path)) == {"а": "a", "𝐚": "a"}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("abcXYZ é9-​ ｗａАеοɑΈ"), max_size=30))
 def test_form_is_stable_and_composed(s):

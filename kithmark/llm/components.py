@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kithmark.operators.heavy_keys import skew_join
-from kithmark.runtime import cut
+from kithmark.runtime import cut, free
 
 
 def parse_links(matches: DataFrame, left: str, listed: str) -> DataFrame:
@@ -67,10 +67,11 @@ def _compress_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps, states = 1, walk.count()
     while steps <= states and not walk.where("open").isEmpty():
         nxt = walk.selectExpr("v as at", "came as since", "at as at2", "since as since2", "open as open2", "low as low2")
-        walk = cut(
+        before, walk = walk, cut(
             walk.where("open").join(nxt, ["at", "since"]).select("v", "came", F.col("at2").alias("at"), F.col("since2").alias("since"), F.col("open2").alias("open"), F.least("low", "low2").alias("low"))
             .unionByName(walk.where("not open"))
         )
+        free(before)
         steps *= 2
     chains = walk.groupBy("v").agg(
         F.min("at").alias("e1"), F.max("at").alias("e2"), F.bool_or("open").alias("ring"), F.min("low").alias("low")
@@ -94,7 +95,9 @@ def _solve_core(edges: DataFrame) -> DataFrame:
         # small star: every vertex and its smaller neighbours point at the smallest of them
         low = e1.groupBy("v").agg(F.min("u").alias("m"))
         small = e1.join(low, "v").select(F.col("m").alias("x"), F.col("u").alias("y")).unionByName(low.select(F.col("m").alias("x"), F.col("v").alias("y")))
-        e = cut(_ordered(small, "x", "y"))
+        before, e = e, cut(_ordered(small, "x", "y"))
+        if before is not edges:
+            free(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -115,25 +118,30 @@ def components(edges: DataFrame, left: str, right: str, *, core_share: float = 0
     e = cut(_ordered(links.where("a is not null and b is not null"), "a", "b"))
     removed, left_over = [], e.count()
     while left_over:
-        e, leaves = _strip_leaves(e)
-        e, inner = _compress_chains(cut(e))
-        e = cut(e)
+        stripped, leaves = _strip_leaves(e)
+        stripped = cut(stripped)
+        rest, inner = _compress_chains(stripped)
+        before, e = e, cut(rest)
+        free(before, stripped)
         removed += [leaves, inner]
-        now = e.count()
-        if now > (1 - core_share) * left_over:
-            left_over = now
+        before, left_over = left_over, e.count()
+        if left_over > (1 - core_share) * before:
             break
-        left_over = now
     labels = vertices
-    for r in removed:
-        labels = labels.join(r.select(F.col("child").alias("v")), "v", "left_anti")
+    if removed:  # all that was removed, in one table
+        gone = removed[0].select("child")
+        for r in removed[1:]:
+            gone = gone.unionByName(r.select("child"))
+        labels = labels.join(gone.withColumnRenamed("child", "v"), "v", "left_anti")
     if left_over:
         labels = labels.join(_solve_core(e), "v", "left").select("v", F.coalesce("label", "v").alias("label"))
     else:
         labels = labels.select("v", F.col("v").alias("label"))
     labels = cut(labels)
+    # each round needs the labels of what was removed after it, so the last goes first; adaptive execution splits the leaves of a hub
     for r in reversed(removed):
-        parent = labels.select(F.col("v").alias("parent"), "label")
-        labels = cut(labels.unionByName(r.join(parent, "parent").select(F.col("child").alias("v"), "label")))
+        back = r.join(labels.withColumnRenamed("v", "parent"), "parent").select(F.col("child").alias("v"), "label")
+        before, labels = labels, cut(labels.unionByName(back))
+        free(before)
     smallest = labels.groupBy("label").agg(F.min("v").alias("group_id"))
     return skew_join(labels, smallest, "label").select(F.col("v").alias("entity_id"), "group_id")

@@ -8,24 +8,37 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 
+def _shared(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets: two empty ones are equal, one empty one is unlike."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_shared(a, b) / (F.size(a) + F.size(b) - _shared(a, b)))
 
 
 def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
 
 
-def char_ngrams(s: Column, n: int) -> Column:
-    """Set of n-grams; a shorter string is its own n-gram."""
-    last = F.greatest(F.length(s) - (n - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(s, i, F.lit(n))))
+@lru_cache(maxsize=100_000)
+def char_ngrams(s: str, n: int) -> frozenset[str]:
+    """Set of n-grams; a shorter string is its own n-gram, and the empty one has none."""
+    return frozenset(s[i : i + n] for i in range(max(1, len(s) - n + 1))) if s else frozenset()
+
 
+def char_ngram_jaccard(a: str, b: str, n: int) -> float:
+    """Two empty strings are equal, one empty one is unlike."""
+    x, y = char_ngrams(a, n), char_ngrams(b, n)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
 
-def char_ngram_jaccard(a: Column, b: Column, n: int) -> Column:
-    both, one = (a == "") & (b == ""), (a == "") | (b == "")
-    return F.when(both, 1.0).when(one, 0.0).otherwise(jaccard(char_ngrams(a, n), char_ngrams(b, n)))
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("name3", "name4", "addr3")]))
+def gram_jaccards(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
+    """The three n-gram comparisons of a pair in one crossing to Python; the sets of a text are built once for its pairs."""
+    each = lambda x, y, n: [1.0 if u and u == v else char_ngram_jaccard(u or "", v or "", n) for u, v in zip(x, y)]
+    return pd.DataFrame({"name3": each(n1, n2, 3), "name4": each(n1, n2, 4), "addr3": each(a1, a2, 3)})
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -34,7 +47,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def word_count(s: Column) -> Column:
-    return F.size(F.filter(F.split(s, " "), lambda w: w != ""))
+    return F.size(F.array_remove(F.split(s, " "), ""))
 
 
 @lru_cache(maxsize=200_000)
@@ -79,11 +92,6 @@ def jaro_winkler_four(n1: pd.Series, n2: pd.Series, r1: pd.Series, r2: pd.Series
     return pd.DataFrame({"name": each(n1, n2), "name_raw": each(r1, r2), "addr": each(a1, a2), "addr_raw": each(w1, w2)})
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_of(u or "", v or "") for u, v in zip(a, b)])
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -138,7 +138,7 @@ def address_number(normalized: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Set of words of a text."""
-    return F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(c, " ")), "")
 
 
 def without_legal_forms(raw: Column) -> Column:

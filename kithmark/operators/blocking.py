@@ -98,11 +98,25 @@ def capped_lists(left: DataFrame, right: DataFrame, caps: Caps = Caps(), routes=
     The routes are folded in order. In each, the first ids of the route that fit into the remaining slots are
     taken, those included that an earlier route has brought already, whose slot is thereby lost.
     """
-    l, r = route_keys(left, right, caps, routes)
+    return fold_blocks(left, target_blocks(right, caps, routes, cap), routes, cap)
+
+
+def target_blocks(right: DataFrame, caps: Caps = Caps(), routes=PRODUCTION, cap: int = 15) -> DataFrame:
+    """``country, route, key, stop, ids``: every block of the targets cut to its first ``cap`` ids; ``stop``: its key is a stop key of the route."""
+    use = [r for r in ROUTES if r.number in set(routes)]
+    keys = _keys(right, use, "right").distinct()
     w = Window.partitionBy("country", "route", "key").orderBy("id")
-    blocks = r.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
-    blocks = blocks.groupBy("country", "route", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    per = l.join(blocks, ["country", "route", "key"]).groupBy("country", "id").agg(F.sort_array(F.collect_list(F.struct("route", "ids"))).alias("routes"))
+    blocks = keys.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
+    blocks = blocks.groupBy("country", "route", "kind", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    stops = stop_keys(right, caps).drop("count").withColumn("stop", F.lit(True))
+    return blocks.join(stops, ["country", "kind", "key"], "left").select("country", "route", "key", F.coalesce("stop", F.lit(False)).alias("stop"), "ids")
+
+
+def fold_blocks(left: DataFrame, blocks: DataFrame, routes=PRODUCTION, cap: int = 15) -> DataFrame:
+    """``s1_id, targets`` of primary records against prepared blocks; only the keys of the primary records are formed."""
+    use = [r for r in ROUTES if r.number in set(routes)]
+    l = _keys(left, use, "left").drop("kind").distinct()
+    per = l.join(blocks.where("not stop").drop("stop"), ["country", "route", "key"]).groupBy("country", "id").agg(F.sort_array(F.collect_list(F.struct("route", "ids"))).alias("routes"))
     fold = F.aggregate("routes", F.array().cast("array<string>"), lambda acc, r: F.array_union(acc, F.slice(r["ids"], F.lit(1), F.lit(cap) - F.size(acc))))
     return per.select(F.col("id").alias("s1_id"), fold.alias("targets")).where(F.size("targets") > 0)
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kithmark.functions import similarity as S
 from kithmark.functions.text import tokens
@@ -36,7 +41,7 @@ def with_attributes(pairs: DataFrame, entities: DataFrame, left: str = "s1_id",
 
 
 def pair_features(df: DataFrame, *, jaro_winkler: bool = True, tfidf: bool = False, embeddings: tuple[str, str] | None = None) -> DataFrame:
-    """Adds the features to pairs that carry attributes. Set, n-gram and length features stay in one projection.
+    """Adds the features to pairs that carry attributes. Set and length features stay in one projection, the n-grams are one crossing to Python.
 
     Features that aren't computed are -1.
     """
@@ -45,16 +50,16 @@ def pair_features(df: DataFrame, *, jaro_winkler: bool = True, tfidf: bool = Fal
     flag = lambda c: c.cast("double")
     f = {
         "f_name_jaccard": S.jaccard(tn1, tn2), "f_name_overlap": S.overlap(tn1, tn2),
-        "f_name_char3gram": S.char_ngram_jaccard(n1, n2, 3), "f_name_char4gram": S.char_ngram_jaccard(n1, n2, 4),
         "f_name_len_ratio": S.ratio(F.length(n1), F.length(n2)), "f_name_token_ratio": S.ratio(S.word_count(n1), S.word_count(n2)),
         "f_name_exact_match": flag((n1 == n2) & (n1 != "")),
-        "f_addr_jaccard": S.jaccard(ta1, ta2), "f_addr_overlap": S.overlap(ta1, ta2), "f_addr_char3gram": S.char_ngram_jaccard(a1, a2, 3),
+        "f_addr_jaccard": S.jaccard(ta1, ta2), "f_addr_overlap": S.overlap(ta1, ta2),
         "f_addr_len_ratio": S.ratio(F.length(a1), F.length(a2)), "f_addr_exact_match": flag((a1 == a2) & (a1 != "")),
         "f_both_addr_empty": flag((a1 == "") & (a2 == "")), "f_addr_missing_one": flag((a1 == "") != (a2 == "")),
         "f_country_match": flag((c1 == c2) & (c1 != "")), "f_both_country_missing": flag((c1 == "") & (c2 == "")),
         "f_name_in_addr_overlap": S.overlap(tn1, ta2),
     }
-    df = df.withColumns(f)
+    df = df.withColumns(f).withColumn("_g", S.gram_jaccards(n1, n2, a1, a2))
+    df = df.withColumns({"f_name_char3gram": F.col("_g.name3"), "f_name_char4gram": F.col("_g.name4"), "f_addr_char3gram": F.col("_g.addr3")}).drop("_g")
     if jaro_winkler:
         cut = lambda c: F.substring(c, 1, 128)
         df = df.withColumn("_jw", S.jaro_winkler_four(*[cut(c) for c in ("n1", "n2", "r1", "r2", "a1", "a2", "w1", "w2")]))
@@ -72,24 +77,51 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.join(t, ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
-def downsample(pairs: DataFrame, *, neg_pos_ratio: int = 10, sample_frac: float = 1.0, seed: int = 42) -> DataFrame:
-    """All (or a share of the) positives and at most ``neg_pos_ratio`` times as many negatives, by hash order.
+def _order(seed: int) -> Column:
+    """A fixed pseudo-random order of pairs, the same in every engine that knows md5."""
+    return F.md5(F.concat_ws("|", "s1_id", "cand_id", F.lit(seed)))
 
-    The negatives are cut by the quantile of their hash, so no task sorts them all; the result is the same on every run.
-    """
-    h = F.pmod(F.xxhash64("s1_id", "cand_id", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
-    marked = pairs.withColumn("_h", h)
-    c = marked.agg(F.sum(((F.col("label") == 1) & (F.col("_h") < sample_frac)).cast("long")).alias("p"), F.sum((F.col("label") == 0).cast("long")).alias("n")).first()
-    positives, negatives = c["p"] or 0, c["n"] or 0
-    share = min(1.0, neg_pos_ratio * positives / negatives) if negatives else 1.0
-    return marked.where(((F.col("label") == 1) & (F.col("_h") < sample_frac)) | ((F.col("label") == 0) & (F.col("_h") < share))).drop("_h")
+
+def _ranked(pairs: DataFrame, seed: int) -> DataFrame:
+    """Adds ``_rank``, from 1, in the fixed order within each label. Ranks are made in 4096 parts of the order, so no task sorts a whole label."""
+    marked = pairs.withColumn("_o", _order(seed)).withColumn("_p", F.substring("_o", 1, 3))
+    before = Window.partitionBy("label").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = marked.groupBy("label", "_p").agg(F.count(F.lit(1)).alias("_n")).select("label", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy("label", "_p").orderBy("_o", "s1_id", "cand_id")
+    return marked.withColumn("_r", F.row_number().over(inner)).join(F.broadcast(parts), ["label", "_p"]).withColumn("_rank", F.col("_r") + F.col("_before")).drop("_o", "_p", "_r", "_before")
+
+
+def downsample(pairs: DataFrame, *, neg_pos_ratio: int = 10, sample_frac: float = 1.0, seed: int = 42) -> DataFrame:
+    """The share ``sample_frac`` of the positives (rounded up) and exactly ``neg_pos_ratio`` times as many negatives, or all there are, in the fixed order."""
+    positives = math.ceil(sample_frac * pairs.where("label = 1").count())
+    wanted = F.when(F.col("label") == 1, F.lit(positives)).otherwise(F.lit(neg_pos_ratio * positives))
+    return _ranked(pairs, seed).where(F.col("_rank") <= wanted).drop("_rank")
 
 
 def stratified_folds(pairs: DataFrame, k: int = 5, seed: int = 42, by_record: bool = False) -> DataFrame:
-    """Adds ``fold``, evenly spread within each label; with ``by_record`` all pairs of a record share a fold."""
+    """Adds ``fold``; sizes within a label differ by one at most. With ``by_record`` all pairs of a record share a fold."""
     if by_record:
         return pairs.withColumn("fold", F.pmod(F.xxhash64("s1_id", F.lit(seed)), F.lit(k)).cast("int"))
-    # rank within a bucket of the hash; buckets keep any one sort small
-    w = Window.partitionBy("label", "_b").orderBy(F.xxhash64("s1_id", "cand_id", F.lit(seed)), "s1_id", "cand_id")
-    b = pairs.withColumn("_b", F.pmod(F.xxhash64("cand_id", "s1_id"), F.lit(64)))
-    return b.withColumn("fold", F.pmod(F.row_number().over(w) - 1 + F.col("_b"), F.lit(k)).cast("int")).drop("_b")
+    return _ranked(pairs, seed).withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
+
+
+def with_embeddings(df: DataFrame, encoder: Callable[[list[str]], Sequence[Sequence[float]]], texts: tuple[str, str] = ("n1", "n2"), out: tuple[str, str] = ("e1", "e2")) -> DataFrame:
+    """Adds unit vectors of two text columns, for ``pair_features(embeddings=...)``. ``encoder`` turns a batch of texts into vectors; equal texts of a batch are encoded once."""
+
+    @F.pandas_udf("array<float>")
+    def encode(text: pd.Series) -> pd.Series:
+        text = text.fillna("")
+        distinct = list(dict.fromkeys(text))
+        vectors = np.asarray(encoder(distinct), dtype=np.float64).reshape(len(distinct), -1)
+        size = np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = dict(zip(distinct, (vectors / np.where(size == 0, 1, size)).astype(np.float32)))
+        return text.map(unit)
+
+    return df.withColumns({o: encode(F.col(t)) for t, o in zip(texts, out)})
+
+
+def usable_features(df: DataFrame) -> list[str]:
+    """The features a table has, without those that are -1 in every row, as an embedding feature is where none was computed."""
+    there = [c for c in FEATURES if c in df.columns]
+    used = df.agg(*[F.max(F.col(c) != -1).alias(c) for c in there]).first()
+    return [c for c in there if used[c] is not False]

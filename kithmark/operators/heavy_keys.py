@@ -8,13 +8,14 @@ in their keys and are put together by a union.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Counters of the sketch. Its error is at most 3.5 / counters of all rows, so with 8192 counters
-#: every key above 0.05 % of the rows is certain to be reported.
-SKETCH_COUNTERS = 8192
+#: Fewest and most counters of the sketch. Its error is at most 3.5 / counters of all rows; counters are chosen so that this is a tenth
+#: of the share asked for, which makes every key above the share certain to be reported. Smaller shares than that allows are refused.
+SKETCH_COUNTERS, MOST_COUNTERS = 8192, 1_000_000
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -29,9 +30,11 @@ def heavy_hashes(df: DataFrame, keys: Sequence[str], share: float) -> tuple[int,
     """
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
-    top = int(1.2 / share) + 1
+    top, counters = int(1.2 / share) + 1, max(SKETCH_COUNTERS, math.ceil(35 / share))
+    if counters > MOST_COUNTERS:
+        raise ValueError(f"share must be at least {35 / MOST_COUNTERS}")
     row = df.select(key_hash(keys).alias("h")).agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {top}, {max(SKETCH_COUNTERS, 4 * top)})").alias("top")
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {top}, {counters})").alias("top")
     ).first()
     n = row["n"]
     return n, [r["item"] for r in (row["top"] or []) if r["count"] >= 0.9 * share * n]
@@ -94,5 +97,8 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", *,
     if not heavy:
         return big.join(small, key, how)
     of_heavy = key_hash([key]).isin(heavy)
-    hot = big.where(of_heavy).join(F.broadcast(small.where(of_heavy)), key, how)
+    few = small.where(of_heavy)
+    if few.limit(len(heavy) + 1).count() > len(heavy):  # more than a row for a key: not safe to broadcast
+        return big.join(small, key, how)
+    hot = big.where(of_heavy).join(F.broadcast(few), key, how)
     return hot.unionByName(big.where(~of_heavy).join(small.where(~of_heavy), key, how))

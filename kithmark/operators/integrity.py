@@ -61,7 +61,11 @@ def output_check(raw: DataFrame, out: DataFrame) -> DataFrame:
     derived = [c for c in out.columns if c.endswith(("_clean", "_normalized"))]
     nulls = out.agg(F.coalesce(F.sum(reduce(lambda p, q: p | q, [F.col(c).isNull() for c in derived]).cast("long")), F.lit(0)).alias("nulls_in_derived"))
     both = a.crossJoin(F.broadcast(nulls))  # one row each
-    return both.selectExpr("stack(3, 'rows_lost_or_changed', rows_lost_or_changed, 'rows_gained_or_changed', rows_gained_or_changed, 'nulls_in_derived', nulls_in_derived) as (metric, n)")
+    once = lambda df: df.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*keep))).alias("n"))
+    again = once(out).select(F.col("n").alias("no")).crossJoin(F.broadcast(once(raw).select(F.col("n").alias("nr")))).select(F.greatest(F.col("no") - F.col("nr"), F.lit(0)).alias("additional_duplicates"))
+    both = both.crossJoin(F.broadcast(again))
+    names = ["rows_lost_or_changed", "rows_gained_or_changed", "nulls_in_derived", "additional_duplicates"]
+    return both.selectExpr("stack(4, " + ", ".join(f"'{x}', {x}" for x in names) + ") as (metric, n)")
 
 
 def submission_check(lists: DataFrame) -> DataFrame:

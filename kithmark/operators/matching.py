@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kithmark.operators.features import FEATURES, stratified_folds
+from kithmark.operators.features import stratified_folds, usable_features
 
 GRID = [round(0.05 + 0.01 * i, 2) for i in range(91)]
 SWEEP = [round(0.10 + 0.05 * i, 2) for i in range(17)]
@@ -60,32 +60,63 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return best.select(F.when(F.col("f05") > 0, F.col("threshold")).otherwise(0.5).alias("threshold"), "precision", "recall", "f05")
 
 
+#: Trees, depth and step of each kind: the defaults, and the sizes of the original pipeline, whose boosting takes hours here, since
+#: Spark grows its trees one after the other, each in several jobs.
+SIZES = {"gbt": (40, 5, 0.1), "forest": (100, 10, 0.0)}
+ORIGINAL_SIZES = {"gbt": (500, 8, 0.05), "forest": (300, 12, 0.0)}
+
+
 @dataclass
 class Matcher:
-    """Feature assembly and a boosted-tree (or forest) classifier behind one threshold."""
+    """Feature assembly and a classifier, boosted trees or a forest, behind one threshold.
+
+    ``trees, depth, step``: None takes SIZES; ``original()`` gives the sizes of the original pipeline. ``positive_weight``: of a match in
+    boosting; a forest is balanced, both labels weigh the same in all. ``features``: None takes those that the training table has and
+    that aren't -1 throughout. An unknown ``kind`` falls back to boosting, unless ``force`` is set.
+    """
 
     kind: str = "gbt"
     positive_weight: float = 10.0
     seed: int = 42
-    features: tuple[str, ...] = tuple(c for c in FEATURES if c != "f_emb_name_cosine")
-    trees: int = 20
-    depth: int = 5
+    features: tuple[str, ...] | None = None
+    trees: int | None = None
+    depth: int | None = None
+    step: float | None = None
+    force: bool = False
     model: object = None
     threshold: float = 0.5
 
+    def __post_init__(self):
+        if self.kind not in SIZES:
+            if self.force:
+                raise ValueError(f"no classifier {self.kind}")
+            self.kind = "gbt"
+        sizes = SIZES[self.kind]
+        self.trees, self.depth, self.step = (own if own is not None else s for own, s in zip((self.trees, self.depth, self.step), sizes))
+
+    @classmethod
+    def original(cls, kind: str = "gbt", **kw) -> Matcher:
+        trees, depth, step = ORIGINAL_SIZES[kind]
+        return cls(kind, trees=trees, depth=depth, step=step, **kw)
+
     def _pipeline(self) -> Pipeline:
         assembler = VectorAssembler(inputCols=list(self.features), outputCol="features")
         if self.kind == "forest":
             c = RandomForestClassifier(numTrees=self.trees, maxDepth=self.depth, minInstancesPerNode=5, featureSubsetStrategy="sqrt", weightCol="weight", seed=self.seed)
         else:
-            c = GBTClassifier(maxIter=self.trees, stepSize=0.1, maxDepth=self.depth, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.8", weightCol="weight", seed=self.seed)
+            c = GBTClassifier(maxIter=self.trees, stepSize=self.step, maxDepth=self.depth, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.8", weightCol="weight", seed=self.seed)
         return Pipeline(stages=[assembler, c])
 
     def _ready(self, df: DataFrame) -> DataFrame:
         return df.na.fill(0.0, list(self.features))
 
     def fit(self, train: DataFrame, tune: bool = True) -> Matcher:
-        data = self._ready(train).withColumn("weight", F.when(F.col("label") == 1, self.positive_weight).otherwise(1.0)).withColumn("label", F.col("label").cast("double"))
+        self.features = self.features or tuple(usable_features(train))
+        weight = self.positive_weight
+        if self.kind == "forest":
+            n = train.agg(F.sum(F.col("label")).alias("p"), F.count(F.lit(1)).alias("n")).first()
+            weight = (n["n"] - n["p"]) / n["p"] if n["p"] else 1.0
+        data = self._ready(train).withColumn("weight", F.when(F.col("label") == 1, float(weight)).otherwise(1.0)).withColumn("label", F.col("label").cast("double"))
         self.model = self._pipeline().fit(data)
         if tune:
             self.threshold = best_threshold(threshold_sweep(self.score(train), GRID)).first()["threshold"]
@@ -101,7 +132,7 @@ class Matcher:
         folded = stratified_folds(df, k, self.seed, by_record)
         rows = []
         for i in range(k):
-            part = Matcher(self.kind, self.positive_weight, self.seed, self.features, self.trees, self.depth).fit(folded.where(F.col("fold") != i), tune=False)
+            part = replace(self, model=None).fit(folded.where(F.col("fold") != i), tune=False)
             b = best_threshold(threshold_sweep(part.score(folded.where(F.col("fold") == i)), GRID)).first()
             rows.append((i, b["threshold"], b["precision"], b["recall"], b["f05"]))
         return df.sparkSession.createDataFrame(rows, "fold int, threshold double, precision double, recall double, f05 double")

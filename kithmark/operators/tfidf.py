@@ -20,8 +20,9 @@ def tfidf_cosine(pairs: DataFrame, a: str, b: str, out: str, *, min_df: int = 2,
     Null is the empty text.
     """
     x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
+    # texts are known by 64 bits of hash from here on, so that joins and aggregates move no texts
     texts = pairs.select(F.explode(F.array(x, y)).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("times"))
-    each = texts.select("text", "times", F.explode(terms(F.col("text"))).alias("term")).groupBy("text", "times", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each = texts.select(F.xxhash64("text").alias("text"), "times", F.explode(terms(F.col("text"))).alias("term")).groupBy("text", "times", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = texts.agg(F.sum("times").alias("n"))
     known = each.groupBy("term").agg(F.sum("times").alias("df"), F.sum(F.col("tf") * F.col("times")).alias("total")).where(F.col("df") >= min_df)
     known = known.orderBy(F.desc("total"), "term").limit(max_features)
@@ -30,7 +31,7 @@ def tfidf_cosine(pairs: DataFrame, a: str, b: str, out: str, *, min_df: int = 2,
     vectors = weighted.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     va = vectors.select(F.col("text").alias("_a"), F.col("v").alias("_va"), F.col("len").alias("_la"))
     vb = vectors.select(F.col("text").alias("_b"), F.col("v").alias("_vb"), F.col("len").alias("_lb"))
-    both = pairs.withColumns({"_a": x, "_b": y}).join(va, "_a", "left").join(vb, "_b", "left")
+    both = pairs.withColumns({"_a": F.xxhash64(x), "_b": F.xxhash64(y)}).join(va, "_a", "left").join(vb, "_b", "left")
     shared = F.aggregate(F.map_entries("_va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("_vb", e["key"]), F.lit(0.0)))
     cos = F.coalesce(F.try_divide(shared, F.col("_la") * F.col("_lb")), F.lit(0.0))
     return both.withColumn(out, cos).drop("_a", "_b", "_va", "_vb", "_la", "_lb")

@@ -8,13 +8,14 @@ from kithmark.functions import similarity as S
 from kithmark.functions.text import processed
 from kithmark.operators import blocking as B, features as X, integrity as I, matching as M, profile as P
 from kithmark.operators.tfidf import tfidf_cosine
-from kithmark.runtime import table
+from kithmark.runtime import cut, table
 from kithmark.schema import PROCESSED_COLUMNS, RAW_COLUMNS
 from kithmark.sources.files import explode_ids, hashed_sample
 
 T1, T2, T3 = (f"train_source{n}_processed" for n in (1, 2, 3))
-#: Lower caps than in production, so that stop keys occur at every scale of the tests.
-CAPS = B.Caps(200, 150, 150, 40)
+CAPS = B.Caps()
+#: Lower caps for one more report of stop keys, so that there are some at every scale of the tests.
+LOW_CAPS = B.Caps(200, 150, 150, 40)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -156,6 +157,11 @@ def stop_keys(spark, d):
     return B.stop_keys(_views(spark, d)[1], CAPS).withColumnRenamed("count", "n")
 
 
+@query(f"""WITH {_tok_sql("r", f"SELECT * FROM ({_view_sql(T2)} UNION ALL {_view_sql(T3)}) WHERE country <> ''")}, {_stops_sql(LOW_CAPS)} SELECT country, kind, key, n FROM stops""")
+def stop_keys_low_caps(spark, d):
+    return B.stop_keys(_views(spark, d)[1], LOW_CAPS).withColumnRenamed("count", "n")
+
+
 def _route_query(number: int):
     def run(spark, d):
         return B.route_sizes(*_views(spark, d), CAPS, [number]).select("s1_id", "n_targets")
@@ -297,16 +303,36 @@ def schema_diff(spark, d):
     return I.schema_difference(_t(spark, d, 1), table(spark, d, "customer"))
 
 
-@query("SELECT unnest(['rows_lost_or_changed', 'rows_gained_or_changed', 'nulls_in_derived']) AS metric, 0::BIGINT AS n")
+def _check_sql(raw: str, out: str) -> str:
+    """The four figures of an output check, from the stored tables."""
+    cols = ", ".join(RAW_COLUMNS)
+    on = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in RAW_COLUMNS)
+    derived = " OR ".join(f"{c} IS NULL" for c in PROCESSED_COLUMNS if c.endswith(("_clean", "_normalized")))
+    return f"""WITH a AS (SELECT {cols}, count(*) AS n FROM {raw} GROUP BY ALL), b AS (SELECT {cols}, count(*) AS n FROM {out} GROUP BY ALL),
+        j AS (SELECT coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM a FULL JOIN b ON {on})
+        SELECT 'rows_lost_or_changed' AS metric, coalesce(sum(greatest(na - nb, 0)), 0)::BIGINT AS n FROM j UNION ALL SELECT 'rows_gained_or_changed', coalesce(sum(greatest(nb - na, 0)), 0)::BIGINT FROM j
+        UNION ALL SELECT 'nulls_in_derived', count(*) FILTER ({derived}) FROM {out}
+        UNION ALL SELECT 'additional_duplicates', greatest((SELECT sum(n) - count(*) FROM b) - (SELECT sum(n) - count(*) FROM a), 0)::BIGINT"""
+
+
+@query(_check_sql(T1, T1))
 def validate_output(spark, d):
     raw = _t(spark, d, 1).select(*RAW_COLUMNS)
-    return I.output_check(raw, processed(raw, composed=True))
+    return I.output_check(raw, processed(raw))
+
+
+@query(_check_sql(T2, T3))
+def validate_other_output(spark, d):
+    """The same check where hardly a row agrees: the output of source 3 held against source 2."""
+    return I.output_check(_t(spark, d, 2).select(*RAW_COLUMNS), processed(_t(spark, d, 3).select(*RAW_COLUMNS)))
 
 
-@query("SELECT " + ", ".join(f"'{c}' AS c{i:02d}" for i, c in enumerate(PROCESSED_COLUMNS)))
+@query(" UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS column_name, count(*) FILTER (coalesce({c}::VARCHAR, '') <> '') AS n_filled, count(DISTINCT {c}) AS n_distinct FROM {T1}" for i, c in enumerate(PROCESSED_COLUMNS)))
 def readback_columns(spark, d):
-    cols = processed(_t(spark, d, 1).select(*RAW_COLUMNS)).limit(10).columns
-    return spark.createDataFrame([tuple(cols)], ", ".join(f"c{i:02d} string" for i in range(len(cols))))
+    """Columns of the processed output in their order, each with how many rows have a value and how many values there are."""
+    out = processed(_t(spark, d, 1).select(*RAW_COLUMNS))
+    one = out.agg(*[F.sum((F.coalesce(F.col(c).cast("string"), F.lit("")) != "").cast("long")).alias(f"f{i}") for i, c in enumerate(out.columns)], *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(out.columns)])
+    return one.selectExpr(f"stack({len(out.columns)}, " + ", ".join(f"{i}, '{c}', f{i}, d{i}" for i, c in enumerate(out.columns)) + ") as (place, column_name, n_filled, n_distinct)")
 
 
 # ---- profiles --------------------------------------------------------------------------------------------
@@ -317,6 +343,26 @@ def profile_missing(spark, d):
     return P.missing(_t(spark, d, 1), RAW_COLUMNS)
 
 
+@query(" UNION ALL ".join(f"SELECT 'S{i}' AS source, '{c}' AS column_name, count(*) FILTER ({c} IS NULL OR trim({c}) = '') AS n_missing, count(DISTINCT {c}) AS n_distinct FROM {t}" for i, t in ((1, T1), (2, T2), (3, T3)) for c in RAW_COLUMNS))
+def profile_sources(spark, d):
+    """Missing and distinct values of the raw columns of every source."""
+    out = None
+    for name, t in _sources(spark, d).items():
+        part = P.missing(t, RAW_COLUMNS).join(P.distinct_values(t, RAW_COLUMNS), "column_name").select(F.lit(name).alias("source"), "column_name", "n_missing", "n_distinct")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT 'S{i}' AS source, count(*) AS n_names, coalesce(sum(n), 0)::BIGINT AS n_rows FROM (SELECT business_name, count(*) AS n FROM {t} WHERE business_name <> '' GROUP BY 1 HAVING count(*) > 1)" for i, t in ((1, T1), (2, T2), (3, T3))))
+def duplicate_names(spark, d):
+    """How many names of each source occur more than once, and in how many rows."""
+    out = None
+    for name, t in _sources(spark, d).items():
+        part = t.where("business_name <> ''").groupBy("business_name").count().where("count > 1").agg(F.count(F.lit(1)).alias("n_names"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows")).select(F.lit(name).alias("source"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM {T1}" for c in RAW_COLUMNS))
 def profile_unique(spark, d):
     return P.distinct_values(_t(spark, d, 1), RAW_COLUMNS)
@@ -360,12 +406,20 @@ def _flags_sql(column: str, patterns: dict[str, str]) -> str:
     return each
 
 
-@query(_flags_sql("business_name", P.NAME_FLAGS))
+def _marks_sql(column: str, tests: dict[str, str]) -> str:
+    """Each test is written out here for itself, not taken from the patterns that are checked."""
+    return " UNION ALL ".join(f"SELECT '{k}' AS metric, count(*) FILTER ({t}) AS n FROM (SELECT coalesce({column}, '') AS v FROM {T1})" for k, t in tests.items())
+
+
+@query(_marks_sql("business_name", {"ampersand": "contains(v, '&')", "slash": "contains(v, '/')", "period": "contains(v, '.')", "comma": "contains(v, ',')", "parenthesis": "contains(v, '(') OR contains(v, ')')",
+    "non_ascii": "octet_length(encode(v)) > length(v)", "repeated_space": r"regexp_matches(v, '[\s\x0B\x1C-\x1F\x{85}\p{Z}][\s\x0B\x1C-\x1F\x{85}\p{Z}]')", "leading_dash": "starts_with(v, '-')", "leading_angle": "starts_with(v, '<')",
+    "and_word": "list_contains(regexp_split_to_array(lower(v), '[^\\p{L}\\p{N}_]+'), 'and')"}))
 def name_char_flags(spark, d):
     return P.flag_counts(_t(spark, d, 1), "business_name", P.NAME_FLAGS)
 
 
-@query(_flags_sql("business_address", P.ADDRESS_FLAGS))
+@query(_marks_sql("business_address", {"comma": "contains(v, ',')", "dash": "contains(v, '-')", "slash": "contains(v, '/')", "hash": "contains(v, '#')", "non_ascii": "octet_length(encode(v)) > length(v)",
+    "repeated_space": r"regexp_matches(v, '[\s\x0B\x1C-\x1F\x{85}\p{Z}][\s\x0B\x1C-\x1F\x{85}\p{Z}]')", "null_word": "list_contains(regexp_split_to_array(lower(v), '[^\\p{L}\\p{N}_]+'), 'null')", "blank": r"regexp_matches(v, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]*$')"}))
 def addr_char_flags(spark, d):
     return P.flag_counts(_t(spark, d, 1), "business_address", P.ADDRESS_FLAGS)
 
@@ -506,17 +560,20 @@ def label_balance(spark, d):
     return _labelled(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_RANK = "row_number() OVER (PARTITION BY label ORDER BY md5(s1_id || '|' || cand_id || '|42'), s1_id, cand_id)"
+
+
+@query(f"""{_LAB}, k AS (SELECT s1_id, cand_id, label, {_RANK} AS r FROM lab) SELECT s1_id, cand_id, label FROM k WHERE label = 1 OR r <= 2 * (SELECT count(*) FROM lab WHERE label = 1)""")
 def downsampled_pairs(spark, d):
     return X.downsample(_labelled(spark, d), neg_pos_ratio=2).select("s1_id", "cand_id", "label")
 
 
-@query()
+@query(f"""{_LAB}, k AS (SELECT label, ({_RANK} - 1) % 5 AS fold FROM lab) SELECT label, fold::INT AS fold, count(*) AS n FROM k GROUP BY ALL""")
 def stratified_folds(spark, d):
     return X.stratified_folds(_labelled(spark, d)).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"SELECT entity_id FROM (SELECT DISTINCT entity_id FROM {T1}) ORDER BY md5(entity_id || '|42'), entity_id LIMIT 100")
 def sampled_records(spark, d):
     """A fixed sample of primary records in hash order."""
     return hashed_sample(_t(spark, d, 1).select("entity_id").distinct(), ["entity_id"], 100)
@@ -634,23 +691,25 @@ def embedding_cosine(spark, d):
 
 
 def _training(spark, d):
-    full = X.pair_features(_labelled(spark, d), tfidf=True)
-    return X.downsample(full.select("s1_id", "cand_id", "label", *X.FEATURES))
+    return cut(X.downsample(X.pair_features(_labelled(spark, d), tfidf=True).select("s1_id", "cand_id", "label", *X.FEATURES)))
 
 
 @query()
 def gbt_cv(spark, d):
-    """Cross-validated metrics of boosted trees; folds keep the pairs of a record together."""
-    from kithmark.runtime import cut
+    """Cross-validated metrics of boosted trees over five stratified folds."""
+    return M.Matcher().cross_validate(_training(spark, d))
+
 
-    return M.Matcher(trees=10, depth=4).cross_validate(cut(_training(spark, d)), k=3, by_record=True)
+@query()
+def gbt_cv_by_record(spark, d):
+    """The same with the pairs of a record in one fold."""
+    return M.Matcher().cross_validate(_training(spark, d), by_record=True)
 
 
 @query()
 def forest_cv(spark, d):
-    from kithmark.runtime import cut
-
-    return M.Matcher(kind="forest", trees=20, depth=8).cross_validate(cut(_training(spark, d)), k=3)
+    """Cross-validated metrics of the balanced forest over five stratified folds."""
+    return M.Matcher("forest").cross_validate(_training(spark, d))
 
 
 @query()
@@ -663,9 +722,7 @@ def cv_summary(spark, d):
 @query()
 def gbt_predict(spark, d):
     """Trained on the covered records, applied to all pairs."""
-    from kithmark.runtime import cut
-
     full = cut(X.pair_features(_attributed(spark, d), tfidf=True).select("s1_id", "cand_id", *X.FEATURES))
     covered = _matches(spark, d).select(F.trim("source1_entity_id").alias("s1_id")).distinct()
-    m = M.Matcher(trees=10, depth=4).fit(cut(X.downsample(X.labelled(full.join(covered, "s1_id", "left_semi"), _truth(spark, d)))))
+    m = M.Matcher().fit(cut(X.downsample(X.labelled(full.join(covered, "s1_id", "left_semi"), _truth(spark, d)))))
     return M.match_lists(m.score(full), m.threshold, universe=_t(spark, d, 1).select(F.col("entity_id").alias("s1_id")))

@@ -3,7 +3,7 @@
     python -m kithmark.plans.pipeline preprocess --raw DIR --work DIR
     python -m kithmark.plans.pipeline block --work DIR [--split train|test] [--sample N] [--routes 1,2,...]
     python -m kithmark.plans.pipeline features --work DIR [--split train|test] [--neg-pos-ratio 10] [--fraction 1.0]
-    python -m kithmark.plans.pipeline cv_only|train|predict|train_and_predict|sweep --work DIR [--threshold T] [--forest] [--no-cv] [--all-records]
+    python -m kithmark.plans.pipeline cv_only|train|predict|train_and_predict|sweep --work DIR [--threshold T] [--forest] [--original-sizes] [--no-cv] [--all-records]
 
 Raw files are ``{split}_source{1,2,3}.tsv`` and ``train_ground_truth.tsv``. Every stage reads what the
 one before has written; intermediate tables are Parquet, tab-separated files stand only at the edges.
@@ -105,11 +105,15 @@ class Pipeline:
             build().write.mode("overwrite").parquet(path)
         return cached(self.spark, path, build)
 
-    def cross_validate(self, forest: bool = False, k: int = 5, by_record: bool = False) -> DataFrame:
-        return M.Matcher("forest" if forest else "gbt").cross_validate(self.features("train"), k, by_record)
+    def _matcher(self, forest: bool, original: bool) -> M.Matcher:
+        kind = "forest" if forest else "gbt"
+        return M.Matcher.original(kind) if original else M.Matcher(kind)
 
-    def train(self, forest: bool = False) -> M.Matcher:
-        m = M.Matcher("forest" if forest else "gbt").fit(self.features("train"))
+    def cross_validate(self, forest: bool = False, k: int = 5, by_record: bool = False, original: bool = False) -> DataFrame:
+        return self._matcher(forest, original).cross_validate(self.features("train"), k, by_record)
+
+    def train(self, forest: bool = False, original: bool = False) -> M.Matcher:
+        m = self._matcher(forest, original).fit(self.features("train"))
         m.save(self._path("model"), self.spark)
         return m
 
@@ -138,7 +142,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--neg-pos-ratio", type=int, default=10)
     a.add_argument("--fraction", type=float, default=1.0)
     a.add_argument("--threshold", type=float)
-    for flag in ("--forest", "--no-cv", "--all-records", "--no-profile", "--by-record"):
+    for flag in ("--forest", "--no-cv", "--all-records", "--no-profile", "--by-record", "--original-sizes"):
         a.add_argument(flag, action="store_true")
     o = a.parse_args(argv)
     p = Pipeline(get_session("pipeline"), o.work, o.raw)
@@ -154,9 +158,9 @@ def main(argv: list[str] | None = None) -> None:
         p.sweep().orderBy("threshold").show(50)
     else:
         if o.stage == "cv_only" or (o.stage.startswith("train") and not o.no_cv):
-            p.cross_validate(o.forest, by_record=o.by_record).show()
+            p.cross_validate(o.forest, by_record=o.by_record, original=o.original_sizes).show()
         if o.stage.startswith("train"):
-            m = p.train(o.forest)
+            m = p.train(o.forest, o.original_sizes)
             print("threshold", m.threshold, *m.importances()[:15], sep="\n")
         if o.stage.endswith("predict"):
             M.submission_summary(p.predict(o.threshold, o.all_records)).show()

@@ -5,8 +5,7 @@ Delimited files are read with an explicit schema, never inferred; a missing valu
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -14,21 +13,16 @@ from pyspark.sql.types import StructType
 from kithmark import schema as S
 
 
-@dataclass(frozen=True)
-class Locations:
-    """Where a pipeline reads and writes; replaces environment variables and fixed folders."""
+def read_tsv(spark: SparkSession, path: str, schema: StructType, multi_line: bool | None = None) -> DataFrame:
+    """A tab-separated file with header; quotes are doubled inside quotes, blanks are ''.
 
-    raw: str
-    processed: str
-    output: str
-
-    def source(self, split: str, n: int) -> str:
-        return f"{self.processed}/{split}_source{n}_processed"
-
-
-def read_tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A tab-separated file with header; quotes are doubled inside quotes, records may span lines, blanks are ''."""
-    df = spark.read.schema(schema).csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", enforceSchema=True)
+    ``multi_line``: whether records span lines, which makes every file one task. None: a scan of the lines tells; where
+    each has an even number of quotes, none does, and files are split.
+    """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    df = spark.read.schema(schema).csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8", enforceSchema=True)
     return df.na.fill("")
 
 
@@ -47,10 +41,11 @@ def read_processed(spark: SparkSession, path: str, columns: list[str] | None = N
 
 
 def read_available(spark: SparkSession, paths: list[str], columns: list[str] | None = None, ids: DataFrame | None = None) -> DataFrame | None:
-    """Union of those tables that are there; None if none is."""
+    """Union of those tables that are there, with a warning for those that aren't; None if none is."""
     out = None
     for p in paths:
         if not _exists(spark, p):
+            warnings.warn(f"no table at {p}", stacklevel=2)
             continue
         df = read_processed(spark, p, columns, ids)
         out = df if out is None else out.unionByName(df)
@@ -89,12 +84,8 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def hashed_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a hash of their keys: the same rows on every run and every cluster."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", *keys, F.lit(seed))), *keys).limit(n)
 
 
 def head_columns_match(df: DataFrame, expected: list[str] | None = None) -> bool:
     return df.columns[: len(expected or S.PROCESSED_COLUMNS)] == (expected or S.PROCESSED_COLUMNS)
-
-
-def path_from_environment(name: str, default: str) -> str:
-    return os.environ.get(name, default)

@@ -30,9 +30,11 @@ def test_downsample_and_folds(spark):
     df = spark.createDataFrame(rows, "s1_id string, cand_id string, label int")
     d = X.downsample(df, neg_pos_ratio=3)
     n = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}
-    assert n[1] == 100 and abs(n[0] - 300) < 60
+    assert n == {0: 300, 1: 100}
+    assert {r["label"]: r["count"] for r in X.downsample(df, neg_pos_ratio=3, sample_frac=0.5).groupBy("label").count().collect()} == {0: 150, 1: 50}
+    assert X.downsample(df.where("label = 0")).count() == 0
     sizes = [r["count"] for r in X.stratified_folds(df, 5).where("label = 1").groupBy("fold").count().collect()]
-    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 30
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
 
 
 def test_model_round_trip(spark, tmp_path):
@@ -44,3 +46,21 @@ def test_model_round_trip(spark, tmp_path):
     assert back.threshold == m.threshold and m.importances()[0][0] == "f_x"
     assert back.score(df).where("score >= 0.5 and label = 0").count() == 0
     assert m.threshold == pytest.approx(back.threshold)
+
+
+def test_features_that_say_nothing_are_dropped(spark):
+    cols = [c for c in X.FEATURES if c != "f_addr_jaccard"]
+    df = spark.createDataFrame([tuple(-1.0 if c == "f_emb_name_cosine" else float(i) for c in cols) for i in range(3)], ", ".join(f"{c} double" for c in cols))
+    assert X.usable_features(df) == [c for c in cols if c != "f_emb_name_cosine"]
+    assert M.Matcher("nothing").kind == "gbt" and M.Matcher.original("forest").trees == 300
+    with pytest.raises(ValueError):
+        M.Matcher("nothing", force=True)
+
+
+def test_embedding_feature(spark):
+    df = spark.createDataFrame([("a", "b", "red shoes", "red shoes"), ("a", "c", "red shoes", "green tea"), ("a", "d", "", None)], "s1_id string, cand_id string, n1 string, n2 string")
+    words = ["red", "shoes", "green", "tea"]
+    with_vectors = X.with_embeddings(df, lambda texts: [[float(w in t) for w in words] for t in texts])
+    full = with_vectors.selectExpr("*", "'' as a1", "'' as a2", "'' as c1", "'' as c2")
+    got = {r["cand_id"]: r["f_emb_name_cosine"] for r in X.pair_features(full, jaro_winkler=False, embeddings=("e1", "e2")).collect()}
+    assert got["b"] == pytest.approx(1) and got["c"] == 0 and got["d"] == 0

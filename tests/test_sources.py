@@ -32,3 +32,10 @@ def test_sample_is_the_same_each_time(spark):
     df = spark.range(1000).selectExpr("cast(id as string) entity_id")
     a, b = (sorted(r[0] for r in files.hashed_sample(df.repartition(n), ["entity_id"], 20).collect()) for n in (2, 5))
     assert a == b and len(a) == 20
+
+
+def test_plain_lines_are_split(spark, tmp_path):
+    rows = [(f"S1-{i}", 'say "hi"', "a\tb", "") for i in range(50)]
+    files.write_tsv(spark.createDataFrame(rows, schema.RAW), str(tmp_path / "t"))
+    for multi_line in (None, False, True):
+        assert sorted(map(tuple, files.read_tsv(spark, str(tmp_path / "t"), schema.RAW, multi_line).collect())) == sorted(rows)

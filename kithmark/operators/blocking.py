@@ -125,6 +125,20 @@ def candidate_pairs(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
     return capped_lists(left, right, **kw).select("s1_id", F.explode("targets").alias("target_id"))
 
 
+def all_candidates(left: DataFrame, right: DataFrame, routes=PRODUCTION) -> DataFrame:
+    """``s1_id, target_id``: every pair that any route brings, without stop keys and without a cap; the exact way beside ``candidate_pairs``.
+
+    Its size is that of the blocks multiplied; blocks of frequent keys are spread over salts, so that none is one task.
+    """
+    none = 2**62
+    l, r = route_keys(left, right, Caps(none, none, none, none), routes)
+    on = ["country", "route", "key"]
+    parts = r.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / 10_000).cast("int").alias("parts")).where("parts > 1")
+    salted = r.join(parts, on, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).select(*on, "salt", F.col("id").alias("target_id"))
+    spread = l.join(parts, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).select(*on, "salt", F.col("id").alias("s1_id"))
+    return spread.join(salted, [*on, "salt"]).select("s1_id", "target_id").distinct()
+
+
 def candidate_lists(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
     """One row per primary record, '' where it has no candidates."""
     lists = capped_lists(left, right, **kw).select("s1_id", F.array_join(F.array_sort("targets"), ",").alias("ids"))

@@ -66,3 +66,12 @@ def test_captured_is_the_ceiling_of_candidates(spark):
     got = {(x[0], x[1]) for x in B.captured(every, l, r, B.Caps()).where("captured").collect()}
     pairs = {(x[0], x[1]) for x in B.candidate_pairs(l, r).collect()}
     assert pairs <= got
+
+
+def test_all_candidates_are_those_of_the_routes_without_caps(spark):
+    left, right = tables(spark, 5)
+    l, r = B.blocking_view(left), B.blocking_view(right)
+    none = 10**9
+    got = {tuple(x) for x in B.all_candidates(l, r).collect()}
+    capless = {(x["s1_id"], x["target_id"]) for x in B.candidate_pairs(l, r, caps=B.Caps(none, none, none, none), cap=1000).collect()}
+    assert got == capless and len(got) > 500

@@ -74,4 +74,4 @@ def test_all_candidates_are_those_of_the_routes_without_caps(spark):
     none = 10**9
     got = {tuple(x) for x in B.all_candidates(l, r).collect()}
     capless = {(x["s1_id"], x["target_id"]) for x in B.candidate_pairs(l, r, caps=B.Caps(none, none, none, none), cap=1000).collect()}
-    assert got == capless and len(got) > 500
+    assert got == capless and len(got) > 100

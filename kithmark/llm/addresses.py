@@ -68,11 +68,6 @@ def plain(text: str | None) -> str:
     return "" if t in MISSING else t
 
 
-@lru_cache(maxsize=200_000)
-def _sound(word: str) -> str:
-    return sounds(word)
-
-
 @lru_cache(maxsize=10_000)
 def _country_words(country: str | None) -> frozenset[str]:
     return frozenset(_WORD.findall(plain(country))) | COUNTRY_WORDS
@@ -203,7 +198,7 @@ def same_word(a: str, b: str) -> bool:
     """Equal but for typing errors."""
     if a == b:
         return True
-    x, y = _sound(a), _sound(b)
+    x, y = sounds(a), sounds(b)
     if x == y:
         return True
     if min(len(a), len(b)) < 4:
@@ -261,7 +256,7 @@ def pack(readings: list[dict]) -> str | None:
     return NEXT.join(SEPARATOR.join(r.values()) for r in readings) or None
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=10_000)
 def unpack_place(text: str) -> tuple:
     """(readings, guess, region) of a packed place."""
     read, guess, region = text.split(GUESS)
@@ -276,7 +271,7 @@ def place_keys(readings: list[dict]) -> tuple[list[str], list[str]]:
     """
     strong, weak = set(), set()
     for r in readings:
-        n, s, t = r["number"], _sound(r["street"]), _sound(r["town"])
+        n, s, t = r["number"], sounds(r["street"]), sounds(r["town"])
         if not n:
             continue
         if r["post"]:
@@ -302,9 +297,9 @@ def with_places(df: DataFrame, keep: list[str], raw: str, country: str, where: s
             keys = [place_keys(r) for r in read]
             yield b[keep].assign(
                 addr=list(map(pack, read)), numbers=[sorted({x["number"] for x in r} - {""}) for r in read],
-                street=[f"{_sound(r[0]['street'])}|{r[0]['kind']}" if r and r[0]["street"] else None for r in read],
-                post=[r[0]["post"] or None if r else None for r in read], first=[_sound(r[0]["town"]) or None if r else None for r in read],
-                last=[_sound(r[0]["region"]) or None if r else None for r in read], strong=[k[0] for k in keys], weak=[k[1] for k in keys],
+                street=[f"{sounds(r[0]['street'])}|{r[0]['kind']}" if r and r[0]["street"] else None for r in read],
+                post=[r[0]["post"] or None if r else None for r in read], first=[sounds(r[0]["town"]) or None if r else None for r in read],
+                last=[sounds(r[0]["region"]) or None if r else None for r in read], strong=[k[0] for k in keys], weak=[k[1] for k in keys],
             )
 
     parsed = cut(df.select(*dict.fromkeys([*keep, raw, country])).mapInPandas(run, schema))

@@ -33,7 +33,7 @@ MAYBE, STRONG = 0.45, 0.75
 NAME_ALONE, WITHOUT_PLACE = 0.85, 0.9
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=20_000)
 def name_similarity(a: str, b: str) -> float:
     """``same_firm`` where it says yes, else part of the likeness of the proper names (0 in another trade)."""
     if a == b:
@@ -155,11 +155,12 @@ def _named(records: DataFrame) -> DataFrame:
         """Hashes of the keys of forms; ``asked``: only those among its bits, for forms that don't probe."""
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = []
-                for f in b["form"]:
-                    k = np.array([xxhash.xxh64_intdigest(x) for x in search_keys(f, asked is None)], dtype=np.uint64)
-                    rows.append((f, (k if asked is None else k[_among(k, asked.value)]).view(np.int64), trade_keys(f)))
-                yield pd.DataFrame([r for r in rows if len(r[1])], columns=["form", "k", "trades"])
+                for at in range(0, len(b), 500):
+                    rows = []
+                    for f in b["form"][at : at + 500]:
+                        k = np.array([xxhash.xxh64_intdigest(x) for x in search_keys(f, asked is None)], dtype=np.uint64)
+                        rows.append((f, (k if asked is None else k[_among(k, asked.value)]).view(np.int64), trade_keys(f)))
+                    yield pd.DataFrame([r for r in rows if len(r[1])], columns=["form", "k", "trades"])
 
         found = forms.where(cond).select("form").mapInPandas(run, "form string, k array<long>, trades array<string>")
         return cut(found.select(F.xxhash64("form").alias(name), "k", "trades", F.array_contains("trades", "").alias("vague")))

@@ -115,8 +115,8 @@ class Lexicon:
         self._starts: dict[str, list[str]] = {}
         for t in sorted(self.trades):
             self._starts.setdefault(t[0], []).append(t)
-        self.trade_of, self.short_of, self.damaged_of, self.given_of = (lru_cache(maxsize=200_000)(f) for f in (self._trade_of, self._short_of, self._damaged_of, self._given_of))
-        self.parse = lru_cache(maxsize=100_000)(self._parse)
+        self.trade_of, self.short_of, self.damaged_of, self.given_of = (lru_cache(maxsize=30_000)(f) for f in (self._trade_of, self._short_of, self._damaged_of, self._given_of))
+        self.parse = lru_cache(maxsize=20_000)(self._parse)
 
     def _trade_of(self, token: str) -> str:
         """The trade a full word means, allowing for typing errors; '' if none."""
@@ -216,7 +216,7 @@ class Lexicon:
 _WORDS = re.compile(r"[^\W_](?:[^\W_]|[ऀ-෿])*|[ऀ-෿]+")
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def native(word: str) -> bool:
     """Whether a word is written in a script of India."""
     return any("ऀ" <= c <= "෿" for c in word)
@@ -241,7 +241,7 @@ def skeleton(text: str) -> str:
     return re.sub(r"[^bcdfgjklmnpqrstv]", "", re.sub(r"(.)\1", r"\1", s.replace("th", "t").replace("w", "v").replace("ph", "f").replace("c", "k")))
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def readings(form: str) -> list[tuple[str, str, str]]:
     """(proper name, trades, given name) of a form; two if a trade is guessed."""
     tokens, trades, given = form.split("|")
@@ -316,13 +316,12 @@ def _orders(tokens: str) -> list[str]:
     return ["".join(w)] if len(w) < 2 else ["".join(w), "".join(w[1:] + w[:1])] + (["".join(w[2:] + w[:2])] if len(w) == 3 else [])
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def _letters(word: str) -> int:
     """Which letters a word has, as bits."""
     return sum({1 << (ord(c) & 63) for c in word})
 
 
-@lru_cache(maxsize=500_000)
 def _core_likeness(a: str, b: str) -> float:
     """Ratio of the longest common subsequence if the spellings differ by typing errors only, else 0."""
     if a == b:
@@ -342,7 +341,7 @@ def _core_likeness(a: str, b: str) -> float:
     return r if r >= 0.8 else 0.0
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _alternatives(trades: str) -> tuple[frozenset[str], ...]:
     return tuple(frozenset(t.split("~")) for t in trades.split("+"))
 
@@ -477,12 +476,18 @@ def spelling_forms(df: DataFrame, keep: list[str], raw: str, learnt: tuple) -> D
     return df.select(*keep, *([raw] if raw not in keep else [])).mapInPandas(run, schema)
 
 
-def _keyed(forms: DataFrame, keys, columns: str = "form string, k string") -> DataFrame:
-    """A row for every key of every form."""
+def _keyed(forms: DataFrame, keys, columns: str = "form string, k string", most: int = 50_000) -> DataFrame:
+    """A row for every key of every form; passed on in parts, as a form may have hundreds of keys."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, found = [], []
         for b in batches:
-            rows = [(f, k) for f in b["form"] for k in keys(f)]
-            yield pd.DataFrame(rows, columns=["form", "k"])
+            for f in b["form"]:
+                found += keys(f)
+                of += [f] * (len(found) - len(of))
+                if len(found) > most:
+                    yield pd.DataFrame({"form": of, "k": found})
+                    of, found = [], []
+        yield pd.DataFrame({"form": of, "k": found})
 
     return forms.select("form").mapInPandas(run, columns)
 

@@ -10,7 +10,7 @@ _RULES = [(re.compile(a), b) for a, b in (
 )]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def sounds(word: str) -> str:
     """Spelling reduced to what is heard: ph = f, oo = u, ee = i, doubled letters once, and so on."""
     w = word.lower()

@@ -14,13 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kithmark.llm.addresses import SEPARATOR, met, met_in_spite, no_conflict, same_place, unpack_place, with_places
-from kithmark.llm.names import given_agree, learn_words, lexicon_of, readings, same_firm, search_keys, skeletons, trade_keys, trades_agree
+from kithmark.llm.names import given_agree, key_bits, learn_words, lexicon_of, meet, readings, same_firm, search_table, skeletons, trades_agree
 from kithmark.llm.strings import lcs_ratio, sounds
 from kithmark.operators.heavy_keys import skew_join
 from kithmark.runtime import cut, free
@@ -121,26 +119,6 @@ def _edges(records: DataFrame) -> DataFrame:
     return each.groupBy("a", "b").agg((F.sum("w") + F.max("nw")).alias("weight"))
 
 
-#: Bits of the filter of asked keys: its size is fixed (2 MB); when it fills up it lets more through and loses none.
-ASKED = 1 << 24
-
-
-def _bits(keyed: DataFrame):
-    """Broadcast bits of the keys ``k`` (arrays) of a table."""
-    at = (F.col("k").bitwiseAND(F.lit(ASKED - 1)) + 1).alias("at")
-    got = keyed.select(F.explode("k").alias("k")).select(at).groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # ASKED / 8 bytes
-    bits = np.zeros(ASKED >> 3, dtype=np.uint8)
-    for r in got:
-        bits[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return keyed.sparkSession.sparkContext.broadcast(bits)
-
-
-def _among(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which keys may be among those asked for."""
-    at = (keys & np.uint64(ASKED - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def _named(records: DataFrame) -> DataFrame:
     """``a, b, fa, fb, s``: pairs in which a record has no address, or none that can be searched, and the name decides.
 
@@ -152,30 +130,12 @@ def _named(records: DataFrame) -> DataFrame:
     forms = cut(records.groupBy("form").agg(flag("side = 'l'")("l"), flag("side = 'r'")("r"), flag("side = 'l' and bare")("bl"), flag("side = 'r' and bare")("br")))
 
     def keyed(cond: str, name: str, asked=None) -> DataFrame:
-        """Hashes of the keys of forms; ``asked``: only those among its bits, for forms that don't probe."""
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for at in range(0, len(b), 500):
-                    rows = []
-                    for f in b["form"][at : at + 500]:
-                        k = np.array([xxhash.xxh64_intdigest(x) for x in search_keys(f, asked is None)], dtype=np.uint64)
-                        rows.append((f, (k if asked is None else k[_among(k, asked.value)]).view(np.int64), trade_keys(f)))
-                    yield pd.DataFrame([r for r in rows if len(r[1])], columns=["form", "k", "trades"])
-
-        found = forms.where(cond).select("form").mapInPandas(run, "form string, k array<long>, trades array<string>")
-        return cut(found.select(F.xxhash64("form").alias(name), "k", "trades", F.array_contains("trades", "").alias("vague")))
-
-    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Names with a trade meet where key and trade agree; a name without one meets all that share a key."""
-        by_trade = lambda d, n: d.select(n, F.explode("trades").alias("t"), "k").where("t <> ''").select(n, F.explode(F.transform("k", lambda x: F.xxhash64(x, "t"))).alias("k"))
-        by_key = lambda d, n: d.select(n, F.explode("k").alias("k"))
-        out = by_trade(x, "ha").join(by_trade(y, "hb"), "k").unionByName(by_key(x.where("vague"), "ha").join(by_key(y, "hb"), "k"))
-        return out.unionByName(by_key(x.where("not vague"), "ha").join(by_key(y.where("vague"), "hb"), "k")).select("ha", "hb")
+        return search_table(forms.where(cond), name, asked is None, asked)
 
     # only hashes of keys and forms are moved, and of the many forms only the keys that one of the few asks for; the texts come back for the candidates
     few_left, few_right = keyed("bl = 1", "ha"), keyed("br = 1", "hb")
-    by_left = meet(few_left, keyed("r = 1", "hb", _bits(few_left)))
-    by_right = meet(keyed("l = 1", "ha", _bits(few_right)), few_right)
+    by_left = meet(few_left, keyed("r = 1", "hb", key_bits(few_left)))
+    by_right = meet(keyed("l = 1", "ha", key_bits(few_right)), few_right)
     text = lambda h, f: forms.select(F.xxhash64("form").alias(h), F.col("form").alias(f))
     cand = by_left.unionByName(by_right).distinct().join(text("ha", "fa"), "ha").join(text("hb", "fb"), "hb").select("fa", "fb")
 

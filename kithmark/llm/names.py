@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -485,13 +486,59 @@ def _keyed(forms: DataFrame, keys, columns: str = "form string, k string", most:
                 found += keys(f)
                 of += [f] * (len(found) - len(of))
                 if len(found) > most:
-                    yield pd.DataFrame({"form": of, "k": found})
+                    yield pd.DataFrame({"form": of, "k": found}, dtype=object)
                     of, found = [], []
-        yield pd.DataFrame({"form": of, "k": found})
+        yield pd.DataFrame({"form": of, "k": found}, dtype=object)
 
     return forms.select("form").mapInPandas(run, columns)
 
 
+#: Bits of the filter of asked keys: its size is fixed (2 MB); when it fills up it lets more through and loses none.
+ASKED = 1 << 24
+
+
+def key_bits(keyed: DataFrame):
+    """Broadcast bits of the keys ``k`` (arrays) of a table."""
+    at = (F.col("k").bitwiseAND(F.lit(ASKED - 1)) + 1).alias("at")
+    got = keyed.select(F.explode("k").alias("k")).select(at).groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # ASKED / 8 bytes
+    bits = np.zeros(ASKED >> 3, dtype=np.uint8)
+    for r in got:
+        bits[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return keyed.sparkSession.sparkContext.broadcast(bits)
+
+
+def _among(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys may be among those asked for."""
+    at = (keys & np.uint64(ASKED - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def search_table(forms: DataFrame, name: str, probe: bool, asked=None) -> DataFrame:
+    """``name`` (hash of the form), ``k`` (hashes of its search keys), ``trades``, ``vague`` (no trade is certain), written to a table.
+
+    ``asked``: broadcast bits of keys; only those among them are kept.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                rows = []
+                for f in b["form"][at : at + 500]:
+                    k = np.array([xxhash.xxh64_intdigest(x) for x in search_keys(f, probe)], dtype=np.uint64)
+                    rows.append((f, (k if asked is None else k[_among(k, asked.value)]).view(np.int64), trade_keys(f)))
+                yield pd.DataFrame([r for r in rows if len(r[1])], columns=["form", "k", "trades"])
+
+    found = forms.select("form").mapInPandas(run, "form string, k array<long>, trades array<string>")
+    return cut(found.select(F.xxhash64("form").alias(name), "k", "trades", F.array_contains("trades", "").alias("vague")))
+
+
+def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+    """``ha, hb``: names with a trade meet where key and trade agree; a name without one meets all that share a key. A pair may come several times."""
+    by_trade = lambda d, n: d.select(n, F.explode("trades").alias("t"), "k").where("t <> ''").select(n, F.explode(F.transform("k", lambda x: F.xxhash64(x, "t"))).alias("k"))
+    by_key = lambda d, n: d.select(n, F.explode("k").alias("k"))
+    out = by_trade(x, "ha").join(by_trade(y, "hb"), "k").unionByName(by_key(x.where("vague"), "ha").join(by_key(y, "hb"), "k"))
+    return out.unionByName(by_key(x.where("not vague"), "ha").join(by_key(y.where("vague"), "hb"), "k")).select("ha", "hb")
+
+
 def form_links(forms: DataFrame) -> DataFrame:
     """``a, b, score``: linked pairs of distinct forms (column ``form``), each once.
 
@@ -512,13 +559,13 @@ def form_links(forms: DataFrame) -> DataFrame:
     level2 = cut(by_trade.where("trade <> ''").unionByName(spread).select("form", F.xxhash64("k", "trade").alias("k")).distinct())
     size2 = level2.groupBy("k").count()
     small2 = level2.join(size2.where(f"count between 2 and {COMMON}").select("k"), "k", "left_semi")
-    large2 = level2.join(size2.where(f"count > {COMMON}").select("k"), "k", "left_semi")
-    large2 = cut(large2)
-    hot = large2.select("form").distinct()
-    sides = [large2.join(_keyed(hot, lambda f, p=p: search_keys(f, p)).select("form", F.col("k").alias("s")), "form").select("form", F.xxhash64("k", "s").alias("k")) for p in (True, False)]
+    hot = cut(level2.join(size2.where(f"count > {COMMON}").select("k"), "k", "left_semi").select("form").distinct())
+    whole = search_table(hot, "hb", False)
+    met = meet(search_table(hot, "ha", True, key_bits(whole)), whole).where("ha <> hb").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct()
+    text = lambda h, f: hot.select(F.xxhash64("form").alias(h), F.col("form").alias(f))
+    met = met.join(text("ha", "a"), "ha").join(text("hb", "b"), "hb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     small = small1.unionByName(small2)
     cand = small.select("k", F.col("form").alias("a")).join(small.select("k", F.col("form").alias("b")), "k").where("a < b").select("a", "b")
-    met = sides[0].withColumnRenamed("form", "a").join(sides[1].withColumnRenamed("form", "b"), "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cand = cand.unionByName(met).distinct()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -557,7 +604,7 @@ def same_firm_pairs(df: DataFrame, *, record: str, raw: str, normalized: str) ->
     names = cut(rows.groupBy("norm").agg(F.min("raw").alias("raw"), F.count_distinct("id").alias("n")))
     formed = cut(spelling_forms(names, ["norm", "n"], "raw", learn_words(names, "raw", "n")).where("form is not null"))
     forms = formed.select("form").distinct()
-    classes = firm_classes(forms, cut(form_links(forms)))  # asked several times
+    classes = cut(firm_classes(forms, cut(form_links(forms))))  # links are asked several times
     named = cut(skew_join(formed, classes, "form").select("norm", "firm", "n"))
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / 1000).cast("int"))
     x, y = named.selectExpr("firm", "norm as a", "n as na"), named.selectExpr("firm", "norm as b", "n as nb")

@@ -564,9 +564,9 @@ def form_links(forms: DataFrame) -> DataFrame:
     met = meet(search_table(hot, "ha", True, key_bits(whole)), whole).where("ha <> hb").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct()
     text = lambda h, f: hot.select(F.xxhash64("form").alias(h), F.col("form").alias(f))
     met = met.join(text("ha", "a"), "ha").join(text("hb", "b"), "hb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    small = small1.unionByName(small2)
+    small = cut(small1).unionByName(cut(small2))
     cand = small.select("k", F.col("form").alias("a")).join(small.select("k", F.col("form").alias("b")), "k").where("a < b").select("a", "b")
-    cand = cand.unionByName(met).distinct()
+    cand = cut(cand).unionByName(cut(met)).distinct()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -129,13 +129,10 @@ def _named(records: DataFrame) -> DataFrame:
     flag = lambda cond: F.max(F.expr(cond).cast("int")).alias
     forms = cut(records.groupBy("form").agg(flag("side = 'l'")("l"), flag("side = 'r'")("r"), flag("side = 'l' and bare")("bl"), flag("side = 'r' and bare")("br")))
 
-    def keyed(cond: str, name: str, asked=None) -> DataFrame:
-        return search_table(forms.where(cond), name, asked is None, asked)
-
     # only hashes of keys and forms are moved, and of the many forms only the keys that one of the few asks for; the texts come back for the candidates
-    few_left, few_right = keyed("bl = 1", "ha"), keyed("br = 1", "hb")
-    by_left = meet(few_left, keyed("r = 1", "hb", key_bits(few_left)))
-    by_right = meet(keyed("l = 1", "ha", key_bits(few_right)), few_right)
+    few_left, few_right = search_table(forms.where("bl = 1")), search_table(forms.where("br = 1"))
+    by_left = meet(few_left, search_table(forms.where("r = 1"), key_bits(few_left)))
+    by_right = meet(search_table(forms.where("l = 1"), key_bits(few_right)), few_right)
     text = lambda h, f: forms.select(F.xxhash64("form").alias(h), F.col("form").alias(f))
     cand = by_left.unionByName(by_right).distinct().join(text("ha", "fa"), "ha").join(text("hb", "fb"), "hb").select("fa", "fb")
 

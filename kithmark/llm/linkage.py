@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from kithmark.llm.addresses import SEPARATOR, met, met_in_spite, no_conflict, same_place, unpack_place, with_places
-from kithmark.llm.names import given_agree, key_bits, learn_words, lexicon_of, meet, readings, same_firm, search_table, skeletons, trades_agree
+from kithmark.llm.names import given_agree, key_bits, learn_words, lexicon_of, meet, readings, same_firm, search_keys, search_table, skeletons, trades_agree
 from kithmark.llm.strings import lcs_ratio, sounds
 from kithmark.operators.heavy_keys import skew_join
 from kithmark.runtime import cut, free
@@ -82,10 +82,10 @@ def attributes_of(form: str) -> set[str]:
 
 
 def _name_weights(records: DataFrame) -> DataFrame:
-    """``form, attrs``: the name attributes of a form, each as 32 bits of hash and its weight in thousandths.
+    """``form, attrs``: the name attributes of a form that another record has too, each as 32 bits of hash and its weight in thousandths.
 
     Attributes are the name keys, the skeleton and the words of the proper name as they sound; counts are taken by form, so that
-    a name that many records have is one row.
+    a name that many records have is one row. What only one record has no two can share; a form without shared attributes has no row.
     """
 
     def attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +96,7 @@ def _name_weights(records: DataFrame) -> DataFrame:
     each = cut(records.groupBy("form").agg(F.count(F.lit(1)).alias("n")).mapInPandas(attributes, "form string, n long, k string"))
     n = records.count()
     rarity = F.round(F.log((F.lit(n) + 1.0) / F.sum("n")) * 1000).cast("long")
-    weight = each.groupBy("k").agg(rarity.alias("w"))
+    weight = each.groupBy("k").agg(rarity.alias("w"), F.sum("n").alias("times")).where("times > 1").drop("times")
     packed = F.shiftleft(F.hash("k").cast("long"), 32) + F.greatest("w", F.lit(0))
     return each.join(weight, "k").groupBy("form").agg(F.collect_list(packed).alias("attrs"))
 
@@ -111,8 +111,9 @@ def _edges(records: DataFrame) -> DataFrame:
     placed = records.where("size(strong) + size(weak) > 0").select("side", "id", "form", "strong", F.array_append("weak", at_number).alias("weak"), "open")
     n = records.count()
     all_keys = placed.select(F.explode(F.concat("weak", "strong")).alias("k"))
-    weight = all_keys.groupBy("k").count().select("k", F.log((F.lit(n) + 1.0) / F.col("count")).cast("float").alias("w")).where("w > 0")
-    placed = cut(skew_join(placed, _name_weights(records), "form").select("side", "id", "strong", "weak", "open", "attrs"))
+    weight = all_keys.groupBy("k").count().select("k", F.log((F.lit(n) + 1.0) / F.col("count")).cast("float").alias("w"), "count").where("w > 0 and count > 1").drop("count")
+    attrs = F.coalesce("attrs", F.array().cast("array<long>")).alias("attrs")
+    placed = cut(skew_join(placed, _name_weights(records), "form", "left").select("side", "id", "strong", "weak", "open", attrs))
     shared = F.aggregate(F.array_intersect("na", "nb"), F.lit(0).cast("long"), lambda t, x: t + x.bitwiseAND(F.lit(0xFFFFFFFF)))
     met_at = met(placed.where("side = 'l'"), placed.where("side = 'r'"), attrs="attrs").select("a", "b", "k", (shared / 1000).cast("float").alias("nw")).join(weight, "k")
     each = met_at.groupBy("a", "b", "k").agg(F.max("w").alias("w"), F.max("nw").alias("nw"))

@@ -12,7 +12,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -21,7 +21,7 @@ from kithmark.llm.addresses import SEPARATOR, met, met_in_spite, no_conflict, sa
 from kithmark.llm.names import given_agree, key_bits, learn_words, lexicon_of, meet, readings, same_firm, search_keys, search_table, skeletons, trades_agree
 from kithmark.llm.strings import lcs_ratio, sounds
 from kithmark.operators.heavy_keys import skew_join
-from kithmark.runtime import cut, free
+from kithmark.runtime import cut, free, phase
 
 #: An edge is kept if its weight is at least this part of the mean weight at either end.
 KEEP_RATIO = 0.4
@@ -132,8 +132,14 @@ def _named(records: DataFrame) -> DataFrame:
 
     # only hashes of keys and forms are moved, and of the many forms only the keys that one of the few asks for; the texts come back for the candidates
     few_left, few_right = search_table(forms.where("bl = 1")), search_table(forms.where("br = 1"))
-    by_left = meet(few_left, search_table(forms.where("r = 1"), key_bits(few_left)))
-    by_right = meet(search_table(forms.where("l = 1"), key_bits(few_right)), few_right)
+    def asked(few, forms):
+        bits = key_bits(few)
+        found = search_table(forms, bits)
+        bits.destroy()
+        return found
+
+    by_left = meet(few_left, asked(few_left, forms.where("r = 1")))
+    by_right = meet(asked(few_right, forms.where("l = 1")), few_right)
     text = lambda h, f: forms.select(F.xxhash64("form").alias(h), F.col("form").alias(f))
     cand = by_left.unionByName(by_right).distinct().join(text("ha", "fa"), "ha").join(text("hb", "fb"), "hb").select("fa", "fb")
 
@@ -202,10 +208,13 @@ def _support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[["a", "b"]].assign(s=got)
 
 
-def _propagate(edges: DataFrame) -> DataFrame:
-    """Raises uncertain edges by their neighbours until nothing changes: ``a, b, s, placed``. Each round makes an edge strong for good, so there is an end."""
-    edges = cut(edges)
+def _propagate(*tables: DataFrame) -> DataFrame:
+    """Raises uncertain edges by their neighbours until nothing changes: ``a, b, s, placed``. Each round makes an edge strong for good, so there is an end.
+
+    ``tables``: the edges, as written by ``cut``; they are freed when something changed.
+    """
     while True:
+        edges = reduce(DataFrame.unionByName, tables)
         grey, strong = edges.where(f"s < {STRONG}"), edges.where(f"s >= {STRONG}")
         g = grey.select("a", "b", "fa", "fb", F.col("s").alias("s0"))
         by_b = g.join(strong.select("a", F.col("fb").alias("v"), "s"), "a").select("a", "b", "s0", "s", F.col("fb").alias("u"), "v")
@@ -213,9 +222,11 @@ def _propagate(edges: DataFrame) -> DataFrame:
         raised = by_b.unionByName(by_a).distinct().mapInPandas(_support, "a string, b string, s double").groupBy("a", "b").agg(F.max("s").alias("up"))
         raised = cut(raised.where(f"up >= {STRONG}"))
         if raised.isEmpty():
+            free(raised)
             return edges.select("a", "b", "s", "placed")
-        before, edges = edges, cut(edges.join(raised, ["a", "b"], "left").select("a", "b", "fa", "fb", F.coalesce("up", "s").alias("s"), "placed"))
-        free(before, raised)
+        after = cut(edges.join(raised, ["a", "b"], "left").select("a", "b", "fa", "fb", F.coalesce("up", "s").alias("s"), "placed"))
+        free(*tables, raised)
+        tables = (after,)
 
 
 def link(
@@ -227,12 +238,23 @@ def link(
     a record without a name (null, empty, blank, the word null) matches nothing. Repeated rows are one record,
     an empty side gives no matches, further columns are ignored, long texts are read whole.
     """
-    records = _records([("l", left), *[("r", r) for r in rights]], record, name, address, country)
-    edges = _prune(_edges(records), keep_ratio).select("a", "b").unionByName(_in_spite(records)).distinct()
-    of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").alias("a" + x)).dropDuplicates([x])
-    full = edges.join(of("l", "a"), "a").join(of("r", "b"), "b")
-    compared = full.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double").withColumn("placed", F.lit(True))
+    spark = left.sparkSession
+    with phase(spark) as keep:
+        records = keep(_records([("l", left), *[("r", r) for r in rights]], record, name, address, country))
+    with phase(spark) as keep:
+        pruned = keep(cut(_prune(_edges(records), keep_ratio).select("a", "b")))
+    with phase(spark) as keep:
+        # the few pairs that come both ways are compared twice and are one in the end
+        edges = pruned.unionByName(_in_spite(records))
+        of = lambda side, x: records.where(F.col("side") == side).select(F.col("id").alias(x), F.col("form").alias("f" + x), F.col("addr").alias("a" + x)).dropDuplicates([x])
+        full = edges.join(of("l", "a"), "a").join(of("r", "b"), "b")
+        compared = full.select("a", "b", "fa", "fb", "aa", "ab").mapInPandas(_similar, "a string, b string, fa string, fb string, s double")
+        compared = keep(cut(compared.withColumn("placed", F.lit(True))))
+    free(pruned)
+    with phase(spark) as keep:
+        named = keep(cut(_named(records).withColumn("placed", F.lit(False))))
+    free(records)
     # records delivered twice, with and without address, may meet in both ways
-    final = _propagate(compared.unionByName(_named(records).withColumn("placed", F.lit(False)))).where(f"s >= {STRONG}")
+    final = _propagate(compared, named).where(f"s >= {STRONG}")
     final = final.groupBy("a", "b").agg(F.max(F.col("s") * F.when(F.col("placed"), 1.0).otherwise(WITHOUT_PLACE)).alias("s"))
     return final.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("s", 4).alias("confidence"))
